@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,8 @@ def subtract(a: Column, b: Column) -> Column:
 def rounded(col: Column, digits: int = 6) -> Column:
     """Rounded double with negative zero folded into zero, for comparison across engines."""
     return F.round(col, digits) + F.lit(0.0)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that a frame can be cogrouped with one it derives from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
