@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cellshift.config import Config
 from cellshift.functions.arrays import rounded
-from cellshift.operators import de, halves, pseudobulk, qc
+from cellshift.functions import arrays
+from cellshift.operators import baselines, de, halves, hvg, metrics, normalize, pooling, pseudobulk, qc, splits
 from cellshift.plans.dataset import Build
+from cellshift.plans.sweep import Sweep
 from cellshift.sources.orders import orders_assay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,3 +202,298 @@ def split_halves(spark, sf_dir):
     b = build(spark, sf_dir)
     long = pseudobulk.unpack(b.halves(), ["cond_id", "rep"], ["h0", "h1"])
     return round_all(named(long, b), "h0", "h1")
+
+
+# --- folds, selection, predictors ------------------------------------------------------------
+
+SIMPLE = ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_context")
+
+
+def sweep(spark: SparkSession, sf_dir: str, **options) -> Sweep:
+    return Sweep.of(build(spark, sf_dir), **options)
+
+
+def _fold_query(regime: str) -> None:
+    def query(spark, sf_dir):
+        b = build(spark, sf_dir)
+        return splits.make_folds(b.obs, regime, b.cfg.seed)
+
+    QUERIES[f"folds_{regime}"] = query
+
+
+for _regime in splits.REGIMES:
+    _fold_query(_regime)
+
+
+@register
+def compound_groups(spark, sf_dir):
+    b = build(spark, sf_dir)
+    return splits.compound_buckets(b.obs, b.cfg.seed)
+
+
+@register
+def fold_meta(spark, sf_dir):
+    b = build(spark, sf_dir)
+    meta = splits.fold_meta(b.obs, splits.all_folds(b.obs, b.cfg.seed), b.cfg.seed)
+    return meta.withColumns({c: F.array_join(c, ",") for c in ("held_out_cell_lines", "held_out_compounds")})
+
+
+@register
+def leakage_violations(spark, sf_dir):
+    b = build(spark, sf_dir)
+    folds = splits.all_folds(b.obs, b.cfg.seed)
+    return splits.leakage_violations(b.obs, folds, splits.fold_meta(b.obs, folds, b.cfg.seed))
+
+
+@register
+def leakage_violations_planted(spark, sf_dir):
+    """Context folds whose training rows were given the random fold's test conditions of their own held-out line."""
+    b = build(spark, sf_dir)
+    context = splits.make_folds(b.obs, "held_out_context", b.cfg.seed)
+    meta = splits.fold_meta(b.obs, context, b.cfg.seed)
+    stray = splits.make_folds(b.obs, "random", b.cfg.seed).where("role = 'test'").select("cond_id")
+    leak = context.where("role = 'test'").join(stray, "cond_id", "left_semi").withColumn("role", F.lit("train"))
+    return splits.leakage_violations(b.obs, context.unionByName(leak), meta)
+
+
+@register
+def hvg_selection(spark, sf_dir):
+    b = build(spark, sf_dir)
+    folds = splits.all_folds(b.obs, b.cfg.seed)
+    variance = hvg.fold_gene_variance(b.profiles, folds)
+    chosen = hvg.select_genes(variance, b.cfg.n_hvg, b.n_genes)
+    return round_all(named(chosen.join(variance, ["fold", "gene_idx"]), b), "var")
+
+
+@register
+def hvg_union(spark, sf_dir):
+    b = build(spark, sf_dir)
+    return named(hvg.gene_union(Sweep.of(b).selected), b)
+
+
+@register
+def hvg_coverage(spark, sf_dir):
+    """Genes of any fold that a table covering only the random fold's genes would miss."""
+    b = build(spark, sf_dir)
+    selected = Sweep.of(b).selected
+    available = selected.where("fold = 'random/holdout'").select("gene_idx")
+    return named(hvg.uncovered_genes(selected, available), b)
+
+
+def _long_predictions(b: Build, s: Sweep, predictions: DataFrame, keep: list[str]) -> DataFrame:
+    rows = predictions.join(s.fit.genes, "fold").select(*keep, F.explode(F.arrays_zip("genes", "pred")).alias("g"))
+    return round_all(named(rows.select(*keep, F.col("g.genes").alias("gene_idx"), F.col("g.pred").alias("pred")), b), "pred")
+
+
+def _predictor_query(name: str) -> None:
+    def query(spark, sf_dir):
+        b = build(spark, sf_dir)
+        s = Sweep.of(b)
+        return _long_predictions(b, s, baselines.PREDICTORS[name](s.fit), ["fold", "cond_id", "fallback", "tier"])
+
+    QUERIES[f"pred_{name}"] = query
+
+
+for _name in SIMPLE:
+    _predictor_query(_name)
+
+
+@register
+def nearest_line(spark, sf_dir):
+    return round_all(baselines.context_candidates(sweep(spark, sf_dir).fit), "sim")
+
+
+@register
+def fallback_rates(spark, sf_dir):
+    s = sweep(spark, sf_dir, names=SIMPLE)
+    return round_all(baselines.fallback_rates(s.predictions), "fallback_rate", "fallback_rate_dose_collapsed")
+
+
+def _ridge_query(name: str, regimes: tuple[str, ...]) -> None:
+    def query(spark, sf_dir):
+        b = build(spark, sf_dir)
+        s = Sweep.of(b, regimes=regimes)
+        return _long_predictions(b, s, baselines.PREDICTORS[name](s.fit), ["fold", "cond_id", "fallback", "alpha", "n_components"])
+
+    QUERIES[f"{name}_predictions"] = query
+
+
+_ridge_query("ridge", ("random", "held_out_context"))
+_ridge_query("ridge_no_drug", ("held_out_drug", "held_out_both"))
+
+
+# --- scores and results ----------------------------------------------------------------------
+
+
+def _pairs(s: Sweep) -> tuple[DataFrame, DataFrame]:
+    return metrics.scoring_pairs(s.predictions, s.truth, s.half), metrics.truth_pools(s.truth, s.half)
+
+
+def _score_query(representation: str) -> None:
+    def query(spark, sf_dir):
+        pairs, _ = _pairs(sweep(spark, sf_dir, names=SIMPLE))
+        scored = metrics.condition_metrics(pairs.where(F.col("baseline") != metrics.CEILING))
+        scored = scored.where(F.col("representation") == representation).drop("representation")
+        return round_all(scored, "pearson_r", "mae", "pearson_r_de", "direction_acc_de")
+
+    QUERIES[f"condition_scores_{representation}"] = query
+
+
+for _representation in metrics.REPRESENTATIONS:
+    _score_query(_representation)
+
+
+@register
+def pert_discrimination(spark, sf_dir):
+    pairs, pools = _pairs(sweep(spark, sf_dir, names=SIMPLE))
+    return round_all(metrics.pert_discrimination(pairs.where(F.col("baseline") != metrics.CEILING), pools), "pert_discrimination")
+
+
+@register
+def ceiling_scores(spark, sf_dir):
+    s = sweep(spark, sf_dir)
+    pairs = metrics.scoring_pairs(None, s.truth, s.half)
+    return round_all(metrics.score_conditions(pairs, metrics.truth_pools(s.truth, s.half)), *metrics.METRIC_DIRECTION)
+
+
+@register
+def metric_aggregate(spark, sf_dir):
+    values = metrics.unpivot(sweep(spark, sf_dir, names=SIMPLE).scores)
+    return round_all(metrics.aggregate(values, normalize.GROUP), "mean", "std")
+
+
+@register
+def bootstrap_ci(spark, sf_dir):
+    values = metrics.unpivot(sweep(spark, sf_dir, names=SIMPLE).scores)
+    values = values.where((F.col("target") == metrics.FULL) & F.col("metric").isin("mae", "pearson_r_de"))
+    out = metrics.bootstrap_ci(values, normalize.GROUP, ["cond_id", "rep"], 0, n_boot=40, draws="digest")
+    return round_all(out, "ci_low", "ci_high")
+
+
+@register
+def clustered_ci(spark, sf_dir):
+    return round_all(normalize.clustered_ci(sweep(spark, sf_dir, names=SIMPLE).scores, 0), "ci_low", "ci_high")
+
+
+@register
+def policy_tables(spark, sf_dir):
+    """Direction and floor of every metric that the sweep over these tables reports."""
+    b = build(spark, sf_dir)
+    reported = F.explode(F.array(*[F.lit(m) for m in metrics.METRIC_DIRECTION]))
+    rows = b.obs.select(reported.alias("metric")).distinct()
+    return rows.select(
+        "metric", normalize.lookup(F.col("metric"), metrics.METRIC_DIRECTION).alias("direction"),
+        normalize.lookup(F.col("metric"), normalize.FLOOR_BASELINE).alias("floor_baseline"),
+    )
+
+
+def _results(spark, sf_dir, n_boot: int = 1, names: tuple[str, ...] | None = SIMPLE) -> DataFrame:
+    return sweep(spark, sf_dir, names=names).results(n_boot=n_boot)
+
+
+@register
+def normalized_scores(spark, sf_dir):
+    out = _results(spark, sf_dir).select(
+        *normalize.SORT_KEYS, "value", "floor_source", "floor_value", "ceiling_value", "normalized", "normalized_std",
+        "normalization_valid", "n_conditions", "n_test",
+    )
+    return round_all(out, "value", "floor_value", "ceiling_value", "normalized", "normalized_std")
+
+
+@register
+def direction_guard(spark, sf_dir):
+    return normalize.guard_census(_results(spark, sf_dir))
+
+
+@register
+def pooled_results(spark, sf_dir):
+    return round_all(pooling.pooled_results(_results(spark, sf_dir)), "mean", "std", "normalized_mean", "normalized_std")
+
+
+@register
+def b3_vs_b5_gap(spark, sf_dir):
+    out = pooling.compare_baselines(_results(spark, sf_dir), "per_drug_mean_delta", "nearest_context")
+    return round_all(out, "a_mean", "a_std", "b_mean", "b_std", "gap")
+
+
+@register
+def b3_vs_b4_gap(spark, sf_dir):
+    s = sweep(spark, sf_dir, regimes=("held_out_context",))
+    out = pooling.compare_baselines(s.results(n_boot=1), "per_drug_mean_delta", "ridge")
+    return round_all(out, "a_mean", "a_std", "b_mean", "b_std", "gap")
+
+
+@register
+def beats_no_change(spark, sf_dir):
+    out = pooling.beats_floor(_results(spark, sf_dir))
+    return round_all(out, "mean", "floor_mean", "normalized_mean", "normalized_std")
+
+
+@register
+def best_by_split(spark, sf_dir):
+    return round_all(pooling.best_by_split(_results(spark, sf_dir)), "best")
+
+
+@register
+def fallback_table(spark, sf_dir):
+    out = pooling.fallback_table(_results(spark, sf_dir))
+    return round_all(out, *splits.REGIMES)
+
+
+@register
+def de_skip_fraction(spark, sf_dir):
+    return round_all(pooling.de_skip(_results(spark, sf_dir)), "skip_fraction")
+
+
+@register
+def mae_instability(spark, sf_dir):
+    return round_all(pooling.mae_instability(_results(spark, sf_dir)), "median_denominator", "typical", "ratio")
+
+
+@register
+def inflation_diagnostic(spark, sf_dir):
+    return round_all(pooling.inflation(_results(spark, sf_dir)), "mean", "std")
+
+
+@register
+def results_long(spark, sf_dir):
+    """The full sweep: every predictor, 1,000 resamples, 21 columns."""
+    return _results(spark, sf_dir, n_boot=1000, names=None).orderBy(*normalize.SORT_KEYS)
+
+
+# --- ready-made profiles (embeddings) ----------------------------------------------------------
+
+
+def _label_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
+    )
+    means = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("c"))
+    return rows, centres
+
+
+@register
+def embedding_nearest(spark, sf_dir):
+    """Most similar label mean by cosine: the nearest-context choice on ready-made vectors."""
+    rows, centres = _label_means(spark, sf_dir)
+    all_centres = centres.agg(F.collect_list(F.struct(F.col("label").alias("nearest"), "c")).alias("cs"))  # one entry per label
+    choices = rows.withColumn("cs", all_centres.scalar()).select("vec_id", "label", "v", F.explode("cs").alias("k"))
+    sims = choices.select("vec_id", "label", F.col("k.nearest").alias("nearest"), arrays.cosine(F.col("v"), F.col("k.c")).alias("sim"))
+    best = sims.groupBy("vec_id", "label").agg(F.min(F.struct((-F.col("sim")).alias("s"), "nearest")).alias("b"))
+    return round_all(best.select("vec_id", "label", (-F.col("b.s")).alias("sim"), F.col("b.nearest").alias("nearest")), "sim")
+
+
+@register
+def embedding_discrimination(spark, sf_dir):
+    """Rank of every vector among all vectors by distance to its label's mean."""
+    rows, centres = _label_means(spark, sf_dir)
+    zeros = F.array_repeat(F.lit(0.0), F.size("v"))
+    base = rows.select("label", "vec_id", F.col("v").alias("truth"), zeros.alias("control"))
+    key = [F.lit("all").alias("fold"), F.lit("labels").alias("target"), F.lit(0).alias("rep"), F.col("vec_id").cast("string").alias("cond_id")]
+    pools = base.select(*key, "truth", "control")
+    pairs = base.join(centres, "label").select(
+        *key, F.lit("label_mean").alias("baseline"), F.col("c").alias("pred"), "truth", "control", F.transform("truth", lambda x: F.lit(0.0)).alias("de")
+    )
+    ranked = metrics.pert_discrimination(pairs, pools).where("representation = 'delta'")
+    return round_all(ranked.select(F.col("cond_id").cast("long").alias("vec_id"), "pert_discrimination"), "pert_discrimination")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle import base
+from oracle import base, sweep
 from oracle.base import KEYS, query, r6
 
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,8 @@ ORACLE["gene_detection"] = query(_STD, "SELECT gene_id, gene, n_detected, thresh
 ORACLE["input_kind"] = query(_STD, """SELECT max(cnt) AS max_value,
     (SELECT max(abs(cnt - round(cnt))) <= 1e-6 FROM counts WHERE cnt > 0 AND cell_id IN
         (SELECT DISTINCT cell_id FROM counts ORDER BY cell_id LIMIT 500)) AS looks_integer,
-    CASE WHEN looks_integer AND max(cnt) > 30 THEN 'raw_counts' ELSE 'already_normalized_or_log' END AS detected_input FROM counts""")
+    CASE WHEN (SELECT max(abs(cnt - round(cnt))) <= 1e-6 FROM counts WHERE cnt > 0 AND cell_id IN
+        (SELECT DISTINCT cell_id FROM counts ORDER BY cell_id LIMIT 500)) AND max(cnt) > 30 THEN 'raw_counts' ELSE 'already_normalized_or_log' END AS detected_input FROM counts""")
 
 ORACLE["control_flags"] = query(_STD, """SELECT compound, lower(compound) IN ('vehicle', 'control', 'dmso', 'none', 'untreated', 'ctrl') AS is_control,
     count(*) AS n_cells FROM obs0 GROUP BY ALL""")
@@ -89,3 +90,151 @@ ORACLE["de_counts"] = query(_STD + base.mwu() + base.bh(), """SELECT cond_id, CA
 ORACLE["half_assignment"] = query(_STD + base.halves(), "SELECT cell_id, CAST(rep AS INTEGER) AS rep, half FROM split")
 ORACLE["split_halves"] = query(_STD + base.halves(), f"""SELECT cond_id, CAST(rep AS INTEGER) AS rep, gene,
     {r6('max(h) FILTER (half = 0)', 'h0')}, {r6('max(h) FILTER (half = 1)', 'h1')} FROM half JOIN genes USING (gene_idx) GROUP BY ALL""")
+
+# --- folds, selection, predictors ----------------------------------------------------------------
+
+_FOLDS = _STD + sweep.folds()
+for _regime in ("random", "held_out_context", "held_out_drug", "held_out_both"):
+    ORACLE[f"folds_{_regime}"] = query(_FOLDS, f"SELECT regime, fold, cond_id, role FROM folds WHERE regime = '{_regime}'")
+
+ORACLE["compound_groups"] = query(_FOLDS, """SELECT compound, "group", available, bucket, n_buckets FROM buckets""")
+
+ORACLE["fold_meta"] = query(_FOLDS, """SELECT regime, fold,
+    CASE WHEN regime IN ('held_out_context', 'held_out_both') THEN string_agg(DISTINCT cell_line, ',' ORDER BY cell_line) ELSE '' END AS held_out_cell_lines,
+    CASE WHEN regime IN ('held_out_drug', 'held_out_both') THEN string_agg(DISTINCT compound, ',' ORDER BY compound) ELSE '' END AS held_out_compounds,
+    CASE WHEN regime IN ('held_out_drug', 'held_out_both') THEN true END AS target_annotation_available
+    FROM folds JOIN conds USING (cond_id) WHERE role = 'test' GROUP BY regime, fold""")
+
+# sound folds first, then folds whose random test rows are copied into the context folds' training rows
+_LEAK = _FOLDS + [
+    ("lk", """SELECT regime, fold, cond_id, role FROM folds WHERE regime = 'held_out_context' UNION ALL
+        SELECT 'held_out_context', fold, cond_id, 'train' FROM folds WHERE regime = 'held_out_context' AND role = 'test'
+        AND cond_id IN (SELECT cond_id FROM folds WHERE regime = 'random' AND role = 'test')"""),
+    ("lr", "SELECT lk.*, cell_line, compound FROM lk JOIN conds USING (cond_id)"),
+    ("ll", "SELECT regime, fold, cell_line AS item, bool_or(role = 'train') AS tr, bool_or(role = 'test') AS te FROM lr GROUP BY ALL"),
+]
+ORACLE["leakage_violations"] = query(_FOLDS, """SELECT regime, fold, 'overlap' AS "check", cond_id AS item FROM folds
+    GROUP BY regime, fold, cond_id HAVING bool_or(role = 'train') AND bool_or(role = 'test')
+    UNION ALL SELECT regime, fold, 'line', cell_line FROM folds JOIN conds USING (cond_id) WHERE regime IN ('held_out_context', 'held_out_both')
+    GROUP BY regime, fold, cell_line HAVING bool_or(role = 'train') AND bool_or(role = 'test')
+    UNION ALL SELECT regime, fold, 'compound', compound FROM folds JOIN conds USING (cond_id) WHERE regime IN ('held_out_drug', 'held_out_both')
+    GROUP BY regime, fold, compound HAVING bool_or(role = 'train') AND bool_or(role = 'test')""")
+ORACLE["leakage_violations_planted"] = query(_LEAK, """SELECT regime, fold, 'overlap' AS "check", cond_id AS item FROM lk
+    GROUP BY regime, fold, cond_id HAVING bool_or(role = 'train') AND bool_or(role = 'test')
+    UNION ALL SELECT regime, fold, 'line_in_both_roles', item FROM ll WHERE tr AND te
+    UNION ALL SELECT regime, fold, 'declared_line_in_train', item FROM ll WHERE tr AND fold = 'held_out_context/' || item""")
+
+_SEL = _FOLDS + sweep.selection()
+ORACLE["hvg_selection"] = query(_SEL, f"SELECT fold, gene, {r6('var', 'var')} FROM sel JOIN fvar USING (fold, gene_idx) JOIN genes USING (gene_idx)")
+ORACLE["hvg_union"] = query(_SEL, "SELECT DISTINCT gene FROM sel JOIN genes USING (gene_idx)")
+ORACLE["hvg_coverage"] = query(_SEL, """SELECT fold, gene FROM sel JOIN genes USING (gene_idx)
+    WHERE gene_idx NOT IN (SELECT gene_idx FROM sel WHERE fold = 'random/holdout')""")
+
+_PRED = _SEL + sweep.predictions()
+for _name in ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_context"):
+    ORACLE[f"pred_{_name}"] = query(_PRED, f"""SELECT fold, cond_id, gene, {r6('pred', 'pred')}, fallback, tier
+        FROM preds JOIN genes USING (gene_idx) WHERE baseline = '{_name}'""")
+ORACLE["nearest_line"] = query(_PRED, f"SELECT fold, cond_id, line, tier, {r6('sim', 'sim')} FROM cands JOIN sims USING (fold, cond_id, line)")
+ORACLE["fallback_rates"] = query(_PRED, f"""SELECT fold, baseline, {r6('fallback_rate', 'fallback_rate')},
+    {r6('fallback_rate_dose_collapsed', 'fallback_rate_dose_collapsed')} FROM rates""")
+
+# --- scores and results --------------------------------------------------------------------------
+
+_SCORES = _PRED + base.mwu() + base.bh() + base.halves() + sweep.scores()
+_PAIR = "fold, baseline, target, rep, cond_id"
+for _rep in ("delta", "absolute"):
+    ORACLE[f"condition_scores_{_rep}"] = query(_SCORES, f"""SELECT {_PAIR}, {r6('pearson_r', 'pearson_r')}, {r6('mae', 'mae')},
+        {r6('pearson_r_de', 'pearson_r_de')}, {r6('direction_acc_de', 'direction_acc_de')} FROM cmx
+        WHERE representation = '{_rep}' AND baseline <> 'ceiling'""")
+ORACLE["pert_discrimination"] = query(_SCORES, f"""SELECT {_PAIR}, representation, {r6('pert_discrimination', 'pert_discrimination')}
+    FROM pd WHERE baseline <> 'ceiling'""")
+ORACLE["ceiling_scores"] = query(_SCORES, f"SELECT {_PAIR}, representation, " + ", ".join(r6(m, m) for m in sweep.METRICS) + " FROM sc WHERE baseline = 'ceiling'")
+ORACLE["metric_aggregate"] = query(_SCORES, f"""SELECT fold, baseline, target, representation, metric, {r6('value', 'mean')}, {r6('std', 'std')}, n, n_skipped FROM agg""")
+
+_RES = _SCORES + sweep.results()
+_RKEYS = "split, fold, baseline, metric, representation, target"
+ORACLE["normalized_scores"] = query(_RES, f"""SELECT {_RKEYS}, {r6('value', 'value')}, floor_source, {r6('floor_value', 'floor_value')},
+    {r6('ceiling_value', 'ceiling_value')}, {r6('normalized', 'normalized')}, {r6('normalized_std', 'normalized_std')}, normalization_valid, n_conditions, n_test FROM res""")
+_COMBO = "split || '~' || fold || '~' || metric || '~' || representation || '~' || target"
+ORACLE["direction_guard"] = query(_RES, f"""SELECT count(DISTINCT {_COMBO}) AS n_total, count(DISTINCT {_COMBO}) FILTER (NOT normalization_valid) AS n_fired FROM res""")
+ORACLE["policy_tables"] = query(_STD, "SELECT * FROM (VALUES " + ", ".join(
+    f"('{m}', '{'higher_better' if up else 'lower_better'}', '{sweep.FLOORS[m]}')" for m, up in sweep.METRICS.items()
+) + ") t(metric, direction, floor_baseline) WHERE (SELECT count(*) FROM conds) > 0")
+
+ORACLE["bootstrap_ci"] = query(_SCORES + [
+    ("bv", """SELECT fold, baseline, target, representation, metric, v, row_number() OVER (PARTITION BY fold, baseline, target, representation, metric
+        ORDER BY cond_id, rep) - 1 AS i, count(*) OVER (PARTITION BY fold, baseline, target, representation, metric) AS n
+        FROM vals WHERE v IS NOT NULL AND target = 'full_pseudobulk' AND metric IN ('mae', 'pearson_r_de')"""),
+    ("draws", """SELECT g.*, b, CASE WHEN n = 1 THEN 0 ELSE CAST('0x' || substr(md5(concat_ws('|', '0', fold, baseline, target, representation, metric, b, j)), 1, 8) AS BIGINT) % n END AS i
+        FROM (SELECT DISTINCT fold, baseline, target, representation, metric, n FROM bv) g, range(40) r(b), range(100) k(j) WHERE j < n"""),
+    ("bm", "SELECT fold, baseline, target, representation, metric, b, avg(v) AS m FROM draws JOIN bv USING (fold, baseline, target, representation, metric, n, i) GROUP BY ALL"),
+    ("ci", "SELECT fold, baseline, target, representation, metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY ALL"),
+], f"""SELECT fold, baseline, target, representation, metric, {r6('lo', 'ci_low')}, {r6('hi', 'ci_high')}
+    FROM (SELECT DISTINCT fold, baseline, target, representation, metric FROM vals WHERE target = 'full_pseudobulk' AND metric IN ('mae', 'pearson_r_de'))
+    LEFT JOIN ci USING (fold, baseline, target, representation, metric)""")
+
+_P5 = "split, baseline, metric, representation, target"
+ORACLE["pooled_results"] = query(
+    _RES + sweep.pooled(_P5, "res", "pr_raw") + sweep.pooled(_P5, "res", "pr_norm", "normalized", "normalized_std", "normalization_valid"),
+    f"""SELECT {_P5}, k.n_guard_fired, {r6('r.mean', 'mean')}, {r6('r.std', 'std')}, r.n AS n, {r6('m.mean', 'normalized_mean')},
+    {r6('m.std', 'normalized_std')}, m.n AS normalized_n FROM (SELECT {_P5}, count(*) FILTER (NOT normalization_valid) AS n_guard_fired FROM res GROUP BY ALL) k
+    LEFT JOIN pr_raw r USING ({_P5}) LEFT JOIN pr_norm m USING ({_P5})""")
+
+_PRIMARY = "representation = 'delta' AND target = 'replicate_half'"
+_HIGHER = "metric IN ('pearson_r', 'pearson_r_de', 'direction_acc_de')"
+ORACLE["b3_vs_b5_gap"] = query(
+    _RES + sweep.pooled("metric, baseline", "res", "pb", where=f"{_PRIMARY} AND split = 'held_out_context'") + [
+        ("ci", "SELECT *, mean - 1.96 * std / sqrt(n) AS lo, mean + 1.96 * std / sqrt(n) AS hi FROM pb"),
+        ("j", """SELECT a.metric, a.mean AS am, a.std AS asd, a.n AS an, b.mean AS bm, b.std AS bsd, b.n AS bn, a.hi < b.lo OR a.lo > b.hi AS apart
+            FROM ci a JOIN ci b USING (metric) WHERE a.baseline = 'per_drug_mean_delta' AND b.baseline = 'nearest_context'"""),
+    ], f"""SELECT metric, {r6('am', 'a_mean')}, {r6('asd', 'a_std')}, an AS a_n, {r6('bm', 'b_mean')}, {r6('bsd', 'b_std')}, bn AS b_n,
+    {r6('bm - am', 'gap')}, NOT apart AS overlap, CASE WHEN NOT apart THEN 'no significant difference'
+    WHEN (bm > am) = ({_HIGHER}) THEN 'nearest_context' ELSE 'per_drug_mean_delta' END AS winner FROM j""")
+
+ORACLE["beats_no_change"] = query(
+    _RES + [("prim", f"SELECT * FROM res WHERE {_PRIMARY} AND baseline <> 'ceiling'"),
+            ("none", "SELECT n.* EXCLUDE (baseline), o.baseline FROM prim n JOIN prim o USING (fold, metric) WHERE n.baseline = 'no_change' AND o.baseline <> 'no_change'")]
+    + sweep.pooled("metric, baseline", "none", "pn") + sweep.pooled("metric, baseline", "prim", "po", where="baseline <> 'no_change'")
+    + sweep.pooled("metric, baseline", "prim", "pz", "normalized", "normalized_std", "normalization_valid"),
+    f"""SELECT metric, baseline, {r6('b.mean', 'mean')}, {r6('a.mean', 'floor_mean')}, {r6('z.mean', 'normalized_mean')}, {r6('z.std', 'normalized_std')}
+    FROM po b JOIN pn a USING (metric, baseline) LEFT JOIN pz z USING (metric, baseline)
+    WHERE CASE WHEN {_HIGHER} THEN b.mean > a.mean ELSE b.mean < a.mean END
+    AND (b.mean + 1.96 * b.std / sqrt(b.n) < a.mean - 1.96 * a.std / sqrt(a.n) OR b.mean - 1.96 * b.std / sqrt(b.n) > a.mean + 1.96 * a.std / sqrt(a.n))""")
+
+ORACLE["best_by_split"] = query(
+    _RES + sweep.pooled("metric, split, baseline", "res", "pb", "normalized", "normalized_std", f"normalization_valid AND baseline <> 'ceiling' AND {_PRIMARY}"),
+    f"SELECT metric, split, {r6('max(mean)', 'best')} FROM pb GROUP BY ALL")
+
+ORACLE["fallback_table"] = query(_RES, "SELECT baseline, " + ", ".join(
+    r6(f"avg(fallback_rate) FILTER (split = '{s}')", s) for s in ("random", "held_out_context", "held_out_drug", "held_out_both")
+) + " FROM (SELECT DISTINCT split, fold, baseline, fallback_rate FROM res WHERE baseline <> 'ceiling') GROUP BY 1")
+
+ORACLE["de_skip_fraction"] = query(_RES, f"""SELECT CAST(sum(n_skipped) AS BIGINT) AS n_skipped, CAST(sum(n_test) AS BIGINT) AS n_test,
+    {r6('sum(n_skipped) / CAST(sum(n_test) AS DOUBLE)', 'skip_fraction')} FROM res
+    WHERE baseline = 'global_mean_delta' AND metric = 'pearson_r_de' AND representation = 'delta' AND target = 'full_pseudobulk'""")
+
+ORACLE["mae_instability"] = query(_RES + [
+    ("mp", f"""SELECT fold, c.value AS ceiling, f.value AS floor, c.value - f.value AS d FROM res c JOIN res f USING (fold, metric, representation, target)
+        WHERE metric = 'mae' AND c.baseline = 'ceiling' AND f.baseline = 'no_change' AND {_PRIMARY}"""),
+    ("ty", "SELECT quantile_cont(v, 0.5) AS typical FROM (SELECT abs(ceiling) AS v FROM mp UNION ALL SELECT abs(floor) FROM mp)"),
+], f"""SELECT {r6('quantile_cont(abs(d), 0.5)', 'median_denominator')}, count(*) FILTER (d > 0) AS n_wrong_sign, count(*) AS n_folds,
+    {r6('any_value(typical)', 'typical')}, {r6('any_value(typical) / quantile_cont(abs(d), 0.5)', 'ratio')} FROM mp, ty""")
+
+_INF = "baseline = 'no_change' AND metric = 'pearson_r' AND target = 'replicate_half'"
+ORACLE["inflation_diagnostic"] = query(_RES + sweep.pooled("split, representation", "res", "pi", where=_INF),
+    f"""SELECT split, representation, {r6('mean', 'mean')}, {r6('std', 'std')}, coalesce(n, 0) AS n
+    FROM (SELECT DISTINCT split, representation FROM res WHERE {_INF}) LEFT JOIN pi USING (split, representation)""")
+
+# --- ready-made profiles (embeddings) --------------------------------------------------------------
+
+ORACLE["embedding_nearest"] = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1)
+    SELECT vec_id, e.label, round(list_cosine_similarity(v, c), 6) + 0.0 AS sim, c.label AS nearest FROM e CROSS JOIN c
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(v, c) DESC, c.label) = 1"""
+
+ORACLE["embedding_discrimination"] = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY ALL) GROUP BY 1),
+    q AS (SELECT vec_id, label, v, c FROM e JOIN c USING (label))
+    SELECT q.vec_id, round((count(*) FILTER (list_distance(c, o.v) < list_distance(c, q.v))
+        + (count(*) FILTER (list_distance(c, o.v) = list_distance(c, q.v)) - 1) / 2.0) / (count(*) - 1), 6) + 0.0 AS pert_discrimination
+    FROM q CROSS JOIN e o GROUP BY q.vec_id"""

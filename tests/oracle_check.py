@@ -71,7 +71,9 @@ def main(argv: list[str]) -> None:
             got = entry.queries()[name](spark, sf_dir).toPandas()
             t1 = time.time()
             if name in oracle:
-                verdict = compare(got, con.execute(oracle[name]).df()) or f"ok {len(got)} rows"
+                rel = con.sql(oracle[name])
+                odd = [f"{c}:{t}" for c, t in zip(rel.columns, rel.types) if "HUGE" in str(t) or "DECIMAL" in str(t)]
+                verdict = (compare(got, rel.df()) or f"ok {len(got)} rows") + (f" ODD TYPES {odd}" if odd else "")
             else:
                 verdict = f"rows only {len(got)}"
             print(f"{name}: {verdict}  spark {t1 - t0:.1f}s duck {time.time() - t1:.1f}s", flush=True)
