@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 128
+MAX_DIGITS = 3  # at most 4096 buckets per group
 
 
 def digest(seed: int, purpose: str, *keys) -> Column:
@@ -25,12 +26,12 @@ def prefix_length(largest_group: int) -> int:
     """Hex digits needed so that a bucket of the largest group holds about ROWS_PER_BUCKET rows."""
     if largest_group <= ROWS_PER_BUCKET:
         return 0
-    return min(6, math.ceil(math.log(largest_group / ROWS_PER_BUCKET, 16)))
+    return min(MAX_DIGITS, math.ceil(math.log(largest_group / ROWS_PER_BUCKET, 16)))
 
 
-def bucket_offsets(df: DataFrame, group: list[str], key: str, digits: int) -> DataFrame:
+def bucket_offsets(df: DataFrame, group: list[str], key: str, digits: int, *extra: Column) -> DataFrame:
     """Rows per digest bucket with `_before`, the number of group rows in earlier buckets."""
-    counts = df.groupBy(*group, F.substring(key, 1, digits).alias("_bucket")).agg(F.count("*").alias("_in_bucket"))
+    counts = df.groupBy(*group, F.substring(key, 1, digits).alias("_bucket")).agg(F.count("*").alias("_in_bucket"), *extra)
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum("_in_bucket").over(earlier), F.lit(0)))
 
@@ -54,10 +55,8 @@ def keyed_cutoff(df: DataFrame, group: list[str], key: str, take: str, digits: i
     `take` is a column constant within the group. Only the one bucket that holds the wanted rank is
     sorted; every other row is merely counted.
     """
-    takes = df.groupBy(*group).agg(F.max(take).alias("_take"))
     hit = (
-        bucket_offsets(df, group, key, digits)
-        .join(takes, group)
+        bucket_offsets(df, group, key, digits, F.max(take).alias("_take"))
         .where((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_in_bucket")))
         .select(*group, "_bucket", (F.col("_take") - F.col("_before")).alias("_want"))
     )

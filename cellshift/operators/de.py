@@ -4,6 +4,8 @@ Ranks are taken from value histograms, not from cells. One scan counts how often
 value occurs per (condition or control, batch, gene). Cumulating the control counts over the values
 of a (line, batch, gene) once serves every condition of that batch: for a treated value v the rank
 sum needs only the control cells below v and equal to v. Controls are never repeated per condition.
+The cumulation runs inside narrow value buckets plus an offset per bucket, so that a batch with very
+many cells is spread over many tasks.
 
 Zero entries are absent from the sparse data. They form one tie block below all other values, added
 in closed form; values must be non-negative. The normal approximation with tie and continuity
@@ -17,8 +19,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellshift.operators.pseudobulk import FALLBACK, Matching
-from cellshift.sources.assay import KEYS
+from cellshift.operators.pseudobulk import Matching
 
 Z_MAX = -NormalDist().inv_cdf(5e-301)  # two-sided p values are clipped at 1e-300
 BUCKETS_PER_UNIT = 64  # value range of one cumulation bucket is 1/64 in log space
@@ -26,24 +27,12 @@ BUCKETS_PER_UNIT = 64  # value range of one cumulation bucket is 1/64 in log spa
 _AT = ["cell_line", "eff_batch", "gene_idx"]
 
 
-def value_histogram(expr: DataFrame, matching: Matching) -> DataFrame:
-    """(cell_line, eff_batch, gene_idx, cond_id, value, n): cells per expression value.
+def value_histogram(placed: DataFrame) -> DataFrame:
+    """(cell_line, eff_batch, gene_idx, cond_id, value, n): cells per expression value; cond_id is NULL for controls.
 
-    cond_id is NULL for controls. One scan; the join adds a few columns from the group table.
-    Control values of lines that use the pooled fallback are repeated once under the fallback key.
+    `placed` is the expression of placed cells; one scan with map-side counting.
     """
-    used = matching.groups.where("usable").select(*KEYS, "batch", "cond_id", "eff_batch")
-    counted = expr.groupBy(*KEYS, "batch", "is_control", "gene_idx", "value").agg(F.count("*").alias("n"))
-    treated = counted.where("NOT is_control").join(used, [*KEYS, "batch"]).select(*_AT, "cond_id", "value", "n")
-    control = counted.where("is_control").select(
-        "cell_line", F.col("batch").alias("eff_batch"), "gene_idx", F.lit(None).cast("string").alias("cond_id"), "value", "n"
-    )
-    fallback_lines = matching.controls.where(F.col("eff_batch") == FALLBACK).select("cell_line")
-    pooled = control.join(fallback_lines, "cell_line", "left_semi").withColumn("eff_batch", F.lit(FALLBACK))
-    return (
-        treated.unionByName(control).unionByName(pooled.select(treated.columns))
-        .groupBy(*_AT, "cond_id", "value").agg(F.sum("n").alias("n"))
-    )
+    return placed.groupBy(*_AT, "cond_id", "value").agg(F.count("*").alias("n"))
 
 
 def _cubes(n):
@@ -57,38 +46,33 @@ def plate_z(hist: DataFrame, matching: Matching) -> DataFrame:
     cells on either side are left out. Genes absent from both sides are absent here (their z is 0).
     """
     is_control = F.col("cond_id").isNull()
-    values = (
-        hist.groupBy(*_AT, "value")
-        .agg(F.coalesce(F.sum(F.when(is_control, F.col("n"))), F.lit(0)).alias("c"))
-        .withColumn("bucket", F.floor(F.col("value") * BUCKETS_PER_UNIT))
-    )
-    # control cells below each value: inside the value's bucket, plus all lower buckets
-    below = Window.partitionBy(*_AT, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    control_n = F.when(is_control, F.col("n")).otherwise(F.lit(0))
+    rows = hist.withColumn("bucket", F.floor(F.col("value") * BUCKETS_PER_UNIT)).withColumn("c", control_n)
+    # control cells up to and at each value inside its bucket; both windows share one sort
+    upto = Window.partitionBy(*_AT, "bucket").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at_value = Window.partitionBy(*_AT, "bucket", "value")
     lower = Window.partitionBy(*_AT).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        values.groupBy(*_AT, "bucket").agg(F.sum("c").alias("size"))
+    before = (
+        rows.groupBy(*_AT, "bucket").agg(F.sum("c").alias("size"))
         .withColumn("before", F.coalesce(F.sum("size").over(lower), F.lit(0)))
         .drop("size")
     )
-    cumulated = (
-        values.withColumn("within", F.coalesce(F.sum("c").over(below), F.lit(0)))
-        .join(buckets, [*_AT, "bucket"])
-        .select(*_AT, "value", "c", (F.col("before") + F.col("within")).alias("c_below"))
+    ranked = (
+        rows.withColumn("c_upto", F.sum("c").over(upto)).withColumn("c_at", F.sum("c").over(at_value))
+        .where(~is_control)
+        .join(before, [*_AT, "bucket"])
     )
-    totals = cumulated.groupBy(*_AT).agg(
-        F.sum("c").alias("c_nonzero"), F.sum(_cubes(F.col("c"))).alias("c_cubes"),
-        F.sum(F.col("c") * F.col("value")).alias("c_sum"),
+    c, t = F.col("c_at"), F.col("n")
+    treated = ranked.groupBy("cond_id", *_AT).agg(
+        F.sum(t).alias("t_nonzero"),
+        F.sum(t * (F.col("before") + F.col("c_upto") - c / 2)).alias("wins"),
+        F.sum(_cubes(t + c) - _cubes(c)).alias("added_cubes"),
+        F.sum(t * F.col("value")).alias("t_sum"),
     )
-    treated = (
-        hist.where(~is_control).withColumnRenamed("n", "t")
-        .join(cumulated, [*_AT, "value"])
-        .groupBy("cond_id", *_AT)
-        .agg(
-            F.sum("t").alias("t_nonzero"),
-            F.sum(F.col("t") * (F.col("c_below") + F.col("c") / 2)).alias("wins"),
-            F.sum(_cubes(F.col("t") + F.col("c")) - _cubes(F.col("c"))).alias("added_cubes"),
-            F.sum(F.col("t") * F.col("value")).alias("t_sum"),
-        )
+    totals = hist.groupBy(*_AT).agg(
+        F.sum(control_n).alias("c_nonzero"),
+        F.sum(_cubes(control_n)).alias("c_cubes"),
+        F.sum(control_n * F.col("value")).alias("c_sum"),
     )
     tested = matching.pairs.where("n_treated >= 2 AND n_control >= 2").select(
         "cond_id", "cell_line", "eff_batch", "n_treated", "n_control"

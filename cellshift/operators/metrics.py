@@ -208,14 +208,23 @@ def bootstrap_ci(
             "vals", F.transform("sizes", lambda s: s["shard"]), F.transform("sizes", lambda s: s["size"]), "shard", group_id
         ).alias("sums"),
     )
-    means = (
-        drawn.select(*keys, "n_values", F.posexplode("sums").alias("b", "s"))
-        .groupBy(*keys, "n_values", "b").agg((F.sum("s") / F.col("n_values")).alias("mean"))
-        .groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"))
-        .select(*keys, F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
+    # add up the shards' sums resample by resample, then read the two percentiles off the sorted means
+    parts = drawn.groupBy(*keys, "n_values").agg(F.collect_list("sums").alias("parts"))
+    total = lambda b: F.aggregate("parts", F.lit(0.0), lambda acc, part: acc + F.get(part, b))
+    means = parts.withColumn(
+        "means", F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: total(b) / F.col("n_values")))
+    ).select(
+        *keys, _sorted_percentile("means", alpha / 2, n_boot).alias("ci_low"), _sorted_percentile("means", 1 - alpha / 2, n_boot).alias("ci_high")
     )
-    groups = values.select(*keys).distinct()
-    return groups.join(means, keys, "left")
+    return values.select(*keys).distinct().join(means, keys, "left")
+
+
+def _sorted_percentile(values: str, p: float, length: int) -> Column:
+    """Linearly interpolated percentile of an ascending array of known length."""
+    at = p * (length - 1)
+    low = math.floor(at)
+    a, b = F.get(values, low), F.get(values, min(low + 1, length - 1))
+    return a + F.lit(at - low) * (b - a)
 
 
 def _resample(n_boot: int, draws: str):
@@ -239,12 +248,14 @@ def _resample(n_boot: int, draws: str):
                 ])
                 continue
             base = digest(k, 15)
-            if len(sz) > 1:
-                take = np.random.default_rng(base).multinomial(sz.sum(), sz / sz.sum(), size=n_boot)[:, list(ids).index(s)]
-            else:
-                take = np.full(n_boot, len(v))
             rng = np.random.default_rng([base, int(s) + 1])
-            out.append([float(v[rng.integers(0, len(v), m)].sum()) for m in take])
+            if len(sz) == 1:
+                out.append(v[rng.integers(0, len(v), (n_boot, len(v)))].sum(axis=1))
+                continue
+            take = np.random.default_rng(base).multinomial(sz.sum(), sz / sz.sum(), size=n_boot)[:, list(ids).index(s)]
+            ends = np.cumsum(take)
+            running = np.concatenate([[0.0], np.cumsum(v[rng.integers(0, len(v), ends[-1])])])
+            out.append(running[ends] - running[ends - take])
         return pd.Series(out)
 
     return sums

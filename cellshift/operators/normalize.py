@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.operators.metrics import CEILING, FULL, METRIC_DIRECTION, aggregate, bootstrap_ci, unpivot
+from cellshift.operators.metrics import CEILING, FULL, HALF, METRIC_DIRECTION, aggregate, bootstrap_ci, unpivot
+from cellshift.session import materialize
 
 # The predictor whose mean is each metric's floor.
 FLOOR_BASELINE = {
@@ -74,12 +75,14 @@ def results_table(scores: DataFrame, folds: DataFrame, rates: DataFrame, seed: i
     intervals; ci_low and ci_high of such rows are therefore narrow (see clustered_ci).
     """
     values = unpivot(scores)
-    stats = aggregate(values, GROUP).withColumnRenamed("mean", "value")
+    stats = materialize(aggregate(values, GROUP).withColumnRenamed("mean", "value"), "stats")
     intervals = bootstrap_ci(values, GROUP, ["cond_id", "rep"], seed, n_boot, draws=draws)
-    stats = stats.join(intervals, GROUP)
     sizes = folds.where("role = 'test'").groupBy(F.col("regime").alias("split"), "fold").agg(F.count("*").alias("n_test"))
+    # the ceiling's row under the other target repeats its one interval
+    scored_on = F.when(F.col("baseline") == CEILING, F.lit(HALF)).otherwise(F.col("target"))
+    rows = with_guard(attach_floor_and_ceiling(stats)).withColumn("scored_on", scored_on)
     return (
-        with_guard(attach_floor_and_ceiling(stats))
+        rows.join(intervals.withColumnRenamed("target", "scored_on"), ["fold", "baseline", "scored_on", "representation", "metric"], "left")
         .join(rates, ["fold", "baseline"], "left").join(sizes, "fold")
         .withColumn("n_conditions", F.col("n")).withColumn("floor_source", lookup(F.col("metric"), FLOOR_BASELINE))
         .select(*RESULTS_COLUMNS)

@@ -35,11 +35,14 @@ class Matching:
         n_cells, n_total (usable cells of the condition) and usable (condition kept and group used).
     pairs: usable (cond_id, eff_batch) with n_treated, n_control, n_total and the cell line.
     controls: control groups (cell_line, eff_batch, n_control), pooled fallback rows included.
+    placement: (keys, batch, is_control, cond_id, eff_batch) of every group that is used; cond_id is
+        NULL for controls, which appear a second time under the fallback where their line needs it.
     """
 
     groups: DataFrame
     pairs: DataFrame
     controls: DataFrame
+    placement: DataFrame
 
 
 def group_sizes(cells: DataFrame) -> DataFrame:
@@ -86,7 +89,18 @@ def match_controls(sizes: DataFrame, min_cells: int) -> Matching:
             "cell_line", F.lit(FALLBACK).alias("eff_batch"), F.col("n_pooled").alias("n_control")
         )
     )
-    return Matching(groups, pairs, controls)
+    treated_at = groups.where("usable").select(*KEYS, "batch", "is_control", "cond_id", "eff_batch")
+    control_at = sizes.where("is_control").select(
+        *KEYS, "batch", "is_control", F.lit(None).cast("string").alias("cond_id"), F.col("batch").alias("eff_batch")
+    )
+    pooled_at = control_at.join(fallback_lines, "cell_line", "left_semi").withColumn("eff_batch", F.lit(FALLBACK))
+    placement = treated_at.unionByName(control_at).unionByName(pooled_at)
+    return Matching(groups, pairs, controls, placement)
+
+
+def place(stats: DataFrame, matching: Matching) -> DataFrame:
+    """Kept cells with cond_id and eff_batch. The wide rows are joined to the small placement table."""
+    return stats.where("keep").join(matching.placement, [*KEYS, "batch", "is_control"])
 
 
 def compound_targets(cells: DataFrame) -> DataFrame:

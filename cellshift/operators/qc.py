@@ -132,7 +132,8 @@ def expression(stats: DataFrame, genes_kept: DataFrame, median: float, normalize
     planner knows) is joined to it.
     """
     scaled = F.log1p(F.col("f.count") / F.col("total_count") * F.lit(median)) if normalize else F.col("f.count")
-    keys = [c for c in ("cell_id", "cell_line", "compound", "dose", "time", "batch", "is_control", "halves") if c in stats.columns]
+    names = ("cell_id", "cell_line", "compound", "dose", "time", "batch", "is_control", "cond_id", "eff_batch", "halves")
+    keys = [c for c in names if c in stats.columns]
     return (
         stats.where(F.col("keep"))
         .select(*keys, "total_count", F.explode("features").alias("f"))

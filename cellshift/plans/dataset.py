@@ -2,6 +2,7 @@
 
 The order of passes is chosen so that the wide rows (the counts) are only ever scanned and reduced:
 
+0. a source that is not row-compressed yet is regrouped and written once;
 1. narrow pass: per-cell statistics, written as a table of cell keys and flags (no counts);
 2. gene pass: detection counts, giving the kept gene axis;
 3. wide passes: group sums, value histograms and half sums, each one scan with map-side combining.
@@ -12,7 +13,7 @@ true sizes and lost executors cannot force a rerun of the scans.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -36,9 +37,16 @@ class Build:
     assay: Assay
     cfg: Config
 
+    @cached_property
+    def stored(self) -> Assay:
+        """The assay in row-compressed form; a long source is regrouped and written once."""
+        if self.assay.packed:
+            return self.assay
+        return replace(self.assay, cells=materialize(self.assay.cells, "packed"), packed=True)
+
     @cached_property
     def stats(self) -> DataFrame:
-        return qc.cell_stats(self.assay, self.cfg)
+        return qc.cell_stats(self.stored, self.cfg)
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -47,9 +55,9 @@ class Build:
     @cached_property
     def genes(self) -> DataFrame:
         """Kept genes with their position gene_idx on the gene axis (the axis is short: one window)."""
-        kept = qc.gene_detection(self.assay).where("keep").select("gene_id", "gene")
-        if self.assay.already_normalized:
-            kept = self.assay.genes.select("gene_id", "gene")
+        kept = qc.gene_detection(self.stored).where("keep").select("gene_id", "gene")
+        if self.stored.already_normalized:
+            kept = self.stored.genes.select("gene_id", "gene")
         axis = kept.withColumn("gene_idx", (F.row_number().over(Window.orderBy("gene_id")) - 1).cast("int"))
         return materialize(axis, "genes")
 
@@ -64,7 +72,7 @@ class Build:
 
     def expression(self, stats: DataFrame | None = None) -> DataFrame:
         return qc.expression(
-            self.stats if stats is None else stats, self.genes, self.median, not self.assay.already_normalized
+            self.stats if stats is None else stats, self.genes, self.median, not self.stored.already_normalized
         )
 
     @cached_property
@@ -75,7 +83,8 @@ class Build:
     def matching(self) -> pseudobulk.Matching:
         found = pseudobulk.match_controls(self.sizes, self.cfg.min_cells_per_condition)
         groups, pairs = materialize(found.groups, "groups"), materialize(found.pairs, "pairs")
-        return pseudobulk.Matching(groups, pairs, materialize(found.controls, "controls"))
+        controls, placement = materialize(found.controls, "controls"), materialize(found.placement, "placement")
+        return pseudobulk.Matching(groups, pairs, controls, placement)
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -97,7 +106,8 @@ class Build:
 
     @cached_property
     def plate_z(self) -> DataFrame:
-        hist = materialize(de.value_histogram(self.expression(), self.matching), "histogram")
+        placed = self.expression(pseudobulk.place(self.stats, self.matching))
+        hist = materialize(de.value_histogram(placed), "histogram")
         return de.plate_z(hist, self.matching)
 
     @cached_property

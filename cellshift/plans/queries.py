@@ -65,17 +65,17 @@ def mito_drop_rates(spark, sf_dir):
 
 @register
 def gene_detection(spark, sf_dir):
-    return qc.gene_detection(build(spark, sf_dir).assay)
+    return qc.gene_detection(build(spark, sf_dir).stored)
 
 
 @register
 def input_kind(spark, sf_dir):
-    return qc.detect_input_kind(build(spark, sf_dir).assay.counts())
+    return qc.detect_input_kind(build(spark, sf_dir).stored.counts())
 
 
 @register
 def control_flags(spark, sf_dir):
-    cells = build(spark, sf_dir).assay.cells
+    cells = build(spark, sf_dir).stored.cells
     return cells.groupBy("compound", "is_control").agg(F.count("*").alias("n_cells"))
 
 
@@ -240,9 +240,8 @@ def fold_meta(spark, sf_dir):
 
 @register
 def leakage_violations(spark, sf_dir):
-    b = build(spark, sf_dir)
-    folds = splits.all_folds(b.obs, b.cfg.seed)
-    return splits.leakage_violations(b.obs, folds, splits.fold_meta(b.obs, folds, b.cfg.seed))
+    s = sweep(spark, sf_dir)
+    return splits.leakage_violations(s.obs, s.folds, s.meta)
 
 
 @register

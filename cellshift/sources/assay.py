@@ -36,6 +36,7 @@ class Assay:
     has_batch: bool = True
     has_time: bool = True
     already_normalized: bool = False
+    packed: bool = True  # False: `cells` still regroups a long table; store it before scanning it repeatedly
     source: str = ""
     detected_columns: dict = field(default_factory=dict)
 
@@ -111,7 +112,7 @@ def assay_from_long(obs: DataFrame, counts: DataFrame, genes: DataFrame, **optio
     cells = cells.join(vectors, "cell_id", "left").withColumn("features", F.coalesce("features", empty))
     return Assay(
         cells, genes, has_batch=names["batch"] is not None, has_time=names["time"] is not None,
-        detected_columns=names, **options,
+        detected_columns=names, packed=False, **options,
     )
 
 

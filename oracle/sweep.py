@@ -102,14 +102,14 @@ def scores():
                 FROM preds JOIN truth USING (fold, cond_id, gene_idx) JOIN h01 USING (cond_id, gene_idx)
             UNION ALL SELECT fold, 'ceiling', 'replicate_half', CAST(rep AS INTEGER), cond_id, gene_idx, h0, h1, control, de
                 FROM truth JOIN h01 USING (cond_id, gene_idx)"""),
-        ("both", """SELECT 'delta' AS representation, fold, baseline, target, rep, cond_id, gene_idx, p, t, de FROM pr
+        ("bothrep", """SELECT 'delta' AS representation, fold, baseline, target, rep, cond_id, gene_idx, p, t, de FROM pr
             UNION ALL SELECT 'absolute', fold, baseline, target, rep, cond_id, gene_idx, c + p, c + t, de FROM pr"""),
         ("cmx", f"""SELECT fold, baseline, target, rep, cond_id, representation, {corr('p', 't')} AS pearson_r, avg(abs(p - t)) AS mae,
             {corr('p', 't', de)} AS pearson_r_de,
             CASE WHEN count(*) {de} >= 2 THEN avg(CASE WHEN sign(p) = sign(t) THEN 1.0 ELSE 0 END) {de} END AS direction_acc_de
-            FROM both GROUP BY ALL"""),
+            FROM bothrep GROUP BY ALL"""),
         ("vecs", """SELECT fold, baseline, target, rep, cond_id, representation, list(p ORDER BY gene_idx) AS p, list(t ORDER BY gene_idx) AS t
-            FROM both GROUP BY ALL"""),
+            FROM bothrep GROUP BY ALL"""),
         ("pool", "SELECT DISTINCT fold, target, rep, representation, cond_id AS other, t AS ot FROM vecs"),
         ("pd", """SELECT v.fold, v.baseline, v.target, v.rep, v.cond_id, v.representation,
             (count(*) FILTER (list_distance(p, ot) < list_distance(p, t)) + (count(*) FILTER (list_distance(p, ot) = list_distance(p, t)) - 1) / 2.0)

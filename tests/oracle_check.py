@@ -22,8 +22,8 @@ def connect(sf_dir: str):
 def _canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].copy()
     for c in frame:
-        if frame[c].dtype == bool:
-            frame[c] = frame[c].astype(object)
+        if frame[c].map(lambda v: v is None or v is pd.NA or isinstance(v, (bool, np.bool_))).all():
+            frame[c] = frame[c].map(lambda v: None if v is None or v is pd.NA else str(bool(v)))
         elif pd.api.types.is_numeric_dtype(frame[c]):
             frame[c] = frame[c].astype(float)
         else:
