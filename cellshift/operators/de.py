@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 from cellshift.operators.pseudobulk import Matching
 
 Z_MAX = -NormalDist().inv_cdf(5e-301)  # two-sided p values are clipped at 1e-300
-BUCKETS_PER_UNIT = 64  # value range of one cumulation bucket is 1/64 in log space
+BUCKETS_PER_UNIT = 16  # value range of one cumulation bucket is 1/16 in log space
 
-_AT = ["cell_line", "eff_batch", "gene_idx"]
+_AT = ["plate_id", "gene_idx"]
 
 
 def value_histogram(placed: DataFrame) -> DataFrame:
-    """(cell_line, eff_batch, gene_idx, cond_id, value, n): cells per expression value; cond_id is NULL for controls.
+    """(plate_id, gene_idx, pair_id, value, n): cells per expression value; pair_id is NULL for controls.
 
     `placed` is the expression of placed cells; one scan with map-side counting.
     """
-    return placed.groupBy(*_AT, "cond_id", "value").agg(F.count("*").alias("n"))
+    return placed.groupBy(*_AT, "pair_id", "value").agg(F.count("*").alias("n"))
 
 
 def _cubes(n):
@@ -45,7 +45,7 @@ def plate_z(hist: DataFrame, matching: Matching) -> DataFrame:
     Columns: cond_id, eff_batch, gene_idx, n_treated, n_control, u, z. Batches with fewer than two
     cells on either side are left out. Genes absent from both sides are absent here (their z is 0).
     """
-    is_control = F.col("cond_id").isNull()
+    is_control = F.col("pair_id").isNull()
     control_n = F.when(is_control, F.col("n")).otherwise(F.lit(0))
     rows = hist.withColumn("bucket", F.floor(F.col("value") * BUCKETS_PER_UNIT)).withColumn("c", control_n)
     # control cells up to and at each value inside its bucket; both windows share one sort
@@ -63,7 +63,7 @@ def plate_z(hist: DataFrame, matching: Matching) -> DataFrame:
         .join(before, [*_AT, "bucket"])
     )
     c, t = F.col("c_at"), F.col("n")
-    treated = ranked.groupBy("cond_id", *_AT).agg(
+    treated = ranked.groupBy("pair_id", "gene_idx").agg(
         F.sum(t).alias("t_nonzero"),
         F.sum(t * (F.col("before") + F.col("c_upto") - c / 2)).alias("wins"),
         F.sum(_cubes(t + c) - _cubes(c)).alias("added_cubes"),
@@ -75,13 +75,13 @@ def plate_z(hist: DataFrame, matching: Matching) -> DataFrame:
         F.sum(control_n * F.col("value")).alias("c_sum"),
     )
     tested = matching.pairs.where("n_treated >= 2 AND n_control >= 2").select(
-        "cond_id", "cell_line", "eff_batch", "n_treated", "n_control"
+        "pair_id", "plate_id", "cond_id", "eff_batch", "n_treated", "n_control"
     )
     zero = F.lit(0.0)
     n1, n2 = F.col("n_treated"), F.col("n_control")
     joined = (
-        tested.join(totals, ["cell_line", "eff_batch"])
-        .join(treated, ["cond_id", *_AT], "left")
+        tested.join(totals, "plate_id")
+        .join(treated, ["pair_id", "gene_idx"], "left")
         .na.fill(0, ["t_nonzero"]).na.fill(0.0, ["wins", "added_cubes", "t_sum"])
         .withColumn("z1", n1 - F.col("t_nonzero")).withColumn("z2", n2 - F.col("c_nonzero"))
     )

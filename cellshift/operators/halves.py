@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellshift.functions import arrays, keyed
-from cellshift.operators.pseudobulk import Matching
-from cellshift.sources.assay import KEYS
+from cellshift.operators.pseudobulk import Matching, place
 
 PURPOSE = "halves"
 BYTES_BUDGET = 2 * 1024**3
@@ -26,49 +25,30 @@ def rep_budget(n_rep: int, n_conditions: int, n_genes: int) -> tuple[int, dict |
     return n_rep, None
 
 
-def usable_cells(cells: DataFrame, matching: Matching) -> DataFrame:
-    """(cell_id, cond_id, eff_batch, n_treated) of kept treated cells in usable batches of two or more."""
-    used = matching.groups.where("usable").select(*KEYS, "batch", "cond_id", "eff_batch")
-    sizes = matching.pairs.where("n_treated >= 2").select("cond_id", "eff_batch", "n_treated")
-    return (
-        cells.where("keep AND NOT is_control").join(used, [*KEYS, "batch"])
-        .join(sizes, ["cond_id", "eff_batch"])
-        .select("cell_id", "cond_id", "eff_batch", "n_treated")
-    )
-
-
 def half_cutoffs(cells: DataFrame, matching: Matching, n_rep: int, seed: int, largest_group: int) -> DataFrame:
-    """(cond_id, eff_batch, rep, cutoff): cells with a digest up to the cutoff are the first half."""
+    """(pair_id, rep, cutoff): cells with a digest up to the cutoff are the first half of their batch."""
+    sizes = matching.pairs.where("n_treated >= 2").select("pair_id", F.floor(F.col("n_treated") / 2).alias("take"))
     spread = (
-        usable_cells(cells, matching)
+        place(cells, matching).select("cell_id", "pair_id").join(sizes, "pair_id")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
         .withColumn("key", keyed.digest(seed, PURPOSE, "rep", "cell_id"))
-        .withColumn("take", F.floor(F.col("n_treated") / 2))
     )
-    digits = keyed.prefix_length(largest_group)
-    return keyed.keyed_cutoff(spread, ["cond_id", "eff_batch", "rep"], "key", "take", digits)
+    return keyed.keyed_cutoff(spread, ["pair_id", "rep"], "key", "take", keyed.prefix_length(largest_group))
 
 
 def mark_halves(cells: DataFrame, matching: Matching, cutoffs: DataFrame, n_rep: int, seed: int) -> DataFrame:
-    """Treated cells with `halves`, a bit set: bit r is on when the cell is in the first half of repetition r.
+    """Placed treated cells with `halves`, a bit set: bit r is on when the cell is in the first half of repetition r.
 
-    Only the group's cutoffs are joined to the cells; the wide rows are not shuffled when that table
-    is small.
+    Only the small tables of placements and cutoffs are joined to the wide rows.
     """
-    packed = cutoffs.groupBy("cond_id", "eff_batch").agg(
+    packed = cutoffs.groupBy("pair_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rep", "cutoff"))), lambda s: s["cutoff"]).alias("cuts")
     )
-    by_group = matching.groups.where("usable").select(*KEYS, "batch", "cond_id", "eff_batch").join(packed, ["cond_id", "eff_batch"])
     bits = F.lit(0).cast("long")
     for rep in range(n_rep):
         first = keyed.digest(seed, PURPOSE, F.lit(rep), F.col("cell_id")) <= F.col("cuts")[rep]
         bits = bits.bitwiseOR(F.when(first, F.lit(1 << rep).cast("long")).otherwise(F.lit(0).cast("long")))
-    return (
-        cells.where("keep AND NOT is_control")
-        .join(by_group.drop("cond_id", "eff_batch"), [*KEYS, "batch"])
-        .withColumn("halves", bits)
-        .drop("cuts")
-    )
+    return place(cells, matching).join(packed, "pair_id").withColumn("halves", bits).drop("cuts")
 
 
 def half_profiles(expr: DataFrame, matching: Matching, ctrl: DataFrame, obs: DataFrame, n_genes: int, n_rep: int) -> DataFrame:
@@ -77,19 +57,18 @@ def half_profiles(expr: DataFrame, matching: Matching, ctrl: DataFrame, obs: Dat
     expr carries the bit set of `mark_halves`. The second half's sums are the totals minus the first
     half's. A condition whose batches all have a single cell has NULL halves.
     """
-    used = matching.groups.where("usable").select(*KEYS, "batch", "cond_id")
     firsts = [f"s{r}" for r in range(n_rep)]
-    in_first = [F.when(F.col("halves").bitwiseAND(F.lit(1 << r).cast("long")) != 0, F.col("value")).otherwise(0.0) for r in range(n_rep)]
+    in_first = [F.when(F.getbit("halves", F.lit(r)) == 1, F.col("value")).otherwise(0.0) for r in range(n_rep)]
+    split = matching.pairs.where("n_treated >= 2").withColumn("k0", F.floor(F.col("n_treated") / 2)).withColumn(
+        "k1", F.col("n_treated") - F.col("k0")
+    )
     treated = (
-        expr.groupBy(*KEYS, "batch", "gene_idx")
+        expr.groupBy("pair_id", "gene_idx")
         .agg(F.sum("value").alias("s"), *[F.sum(v).alias(n) for v, n in zip(in_first, firsts)])
-        .join(used, [*KEYS, "batch"])
+        .join(split.select("pair_id", "cond_id"), "pair_id")
         .select("cond_id", "gene_idx", "s", *firsts, F.lit(0.0).alias("c0"), F.lit(0.0).alias("c1"))
     )
-    split = matching.pairs.where("n_treated >= 2").withColumn("k0", F.floor(F.col("n_treated") / 2)).withColumn(
-        "k1", F.col("n_treated") - F.col("k0")
-    )
-    control = split.join(ctrl, ["cell_line", "eff_batch"]).select(
+    control = split.join(ctrl.select("plate_id", "gene_idx", "control"), "plate_id").select(
         "cond_id", "gene_idx", F.lit(0.0).alias("s"), *[F.lit(0.0).alias(n) for n in firsts],
         (F.col("k0") * F.col("control")).alias("c0"), (F.col("k1") * F.col("control")).alias("c1"),
     )

@@ -82,10 +82,13 @@ def truth_pools(truth: DataFrame, half: DataFrame) -> DataFrame:
 
 
 def _pearson(p: Column, t: Column, n: Column) -> Column:
-    """Pearson r from central moments; NULL for fewer than two values or an exactly constant side."""
+    """Pearson r from central moments; NULL for fewer than two values or an exactly constant side.
+
+    Two values correlate with exactly +1 or -1, whatever the rounding of the moments.
+    """
     constant = (F.min(p) == F.max(p)) | (F.min(t) == F.max(t))
     r = F.try_divide(F.covar_pop(p, t), F.sqrt(F.var_pop(p)) * F.sqrt(F.var_pop(t)))
-    return F.when((n >= 2) & ~constant, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when((n == 2) & ~constant, F.signum(F.covar_pop(p, t))).when((n > 2) & ~constant, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def condition_metrics(pairs: DataFrame) -> DataFrame:

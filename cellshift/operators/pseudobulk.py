@@ -6,6 +6,7 @@ on those sums. A missing (group, gene) row is zero, so means divide by the group
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,15 +34,18 @@ class Matching:
 
     groups: treated (keys, batch) groups with cond_id, eff_batch (NULL when the group is dropped),
         n_cells, n_total (usable cells of the condition) and usable (condition kept and group used).
-    pairs: usable (cond_id, eff_batch) with n_treated, n_control, n_total and the cell line.
-    controls: control groups (cell_line, eff_batch, n_control), pooled fallback rows included.
-    placement: (keys, batch, is_control, cond_id, eff_batch) of every group that is used; cond_id is
+    controls: control groups (plate_id, cell_line, eff_batch, n_control), pooled fallback rows included.
+    pairs: usable (pair_id, plate_id, cond_id, cell_line, eff_batch) with n_treated, n_control, n_total.
+    placement: (keys, batch, is_control, plate_id, pair_id) of every group that is used; pair_id is
         NULL for controls, which appear a second time under the fallback where their line needs it.
+
+    plate_id and pair_id stand for the string keys in everything computed from cells, so that the
+    large shuffles carry two longs.
     """
 
     groups: DataFrame
-    pairs: DataFrame
     controls: DataFrame
+    pairs: DataFrame
     placement: DataFrame
 
 
@@ -50,14 +54,14 @@ def group_sizes(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("keep")).groupBy(*KEYS, "batch", "is_control").agg(F.count("*").alias("n_cells"))
 
 
-def match_controls(sizes: DataFrame, min_cells: int) -> Matching:
+def match_groups(sizes: DataFrame, min_cells: int) -> DataFrame:
     """Match every treated (condition, batch) group to the controls of its own line and batch.
 
     A group without such controls is dropped; a condition none of whose groups match uses the
     line's pooled controls for all its cells as one pseudo-batch; a line without controls loses its
     conditions. Conditions with fewer than `min_cells` usable cells are dropped.
     """
-    control = sizes.where("is_control").groupBy("cell_line", "batch").agg(F.sum("n_cells").alias("n_control"))
+    control = _own_controls(sizes)
     pooled = control.groupBy("cell_line").agg(F.sum("n_control").alias("n_pooled"))
     treated = (
         sizes.where("NOT is_control")
@@ -71,35 +75,48 @@ def match_controls(sizes: DataFrame, min_cells: int) -> Matching:
         F.when(F.col("n_control").isNotNull(), F.col("batch"))
         .when(~F.col("any_match") & F.col("n_pooled").isNotNull(), F.lit(FALLBACK))
     )
-    groups = (
+    used = F.when(F.col("eff_batch").isNotNull(), F.col("n_cells"))
+    return (
         treated.withColumn("any_match", matched)
         .withColumn("eff_batch", eff)
         .withColumn("n_control", F.when(F.col("any_match"), F.col("n_control")).otherwise(F.col("n_pooled")))
-        .withColumn("n_total", F.coalesce(F.sum(F.when(F.col("eff_batch").isNotNull(), F.col("n_cells"))).over(whole), F.lit(0)))
+        .withColumn("n_total", F.coalesce(F.sum(used).over(whole), F.lit(0)))
         .withColumn("usable", F.col("eff_batch").isNotNull() & (F.col("n_total") >= min_cells))
+        .drop("n_pooled")
     )
-    pairs = (
-        groups.where("usable")
-        .groupBy("cond_id", "cell_line", "eff_batch")
-        .agg(F.sum("n_cells").alias("n_treated"), F.max("n_control").alias("n_control"), F.max("n_total").alias("n_total"))
-    )
-    fallback_lines = pairs.where(F.col("eff_batch") == FALLBACK).select("cell_line").distinct()
-    controls = control.withColumnRenamed("batch", "eff_batch").unionByName(
-        pooled.join(fallback_lines, "cell_line", "left_semi").select(
-            "cell_line", F.lit(FALLBACK).alias("eff_batch"), F.col("n_pooled").alias("n_control")
-        )
-    )
-    treated_at = groups.where("usable").select(*KEYS, "batch", "is_control", "cond_id", "eff_batch")
-    control_at = sizes.where("is_control").select(
-        *KEYS, "batch", "is_control", F.lit(None).cast("string").alias("cond_id"), F.col("batch").alias("eff_batch")
+
+
+def _own_controls(sizes: DataFrame) -> DataFrame:
+    return sizes.where("is_control").groupBy("cell_line", "batch").agg(F.sum("n_cells").alias("n_control"))
+
+
+def match_controls(sizes: DataFrame, min_cells: int, keep: Callable[[DataFrame, str], DataFrame]) -> Matching:
+    """The matching, with ids. `keep` stores a table: ids are numbered while a table is written, so
+    each table has to be stored before the next refers to its ids."""
+    groups = keep(match_groups(sizes, min_cells), "groups")
+    fallback_lines = groups.where(F.col("usable") & (F.col("eff_batch") == FALLBACK)).select("cell_line").distinct()
+    own = _own_controls(sizes).withColumnRenamed("batch", "eff_batch")
+    pooled = own.join(fallback_lines, "cell_line", "left_semi").groupBy("cell_line").agg(F.sum("n_control").alias("n_control"))
+    controls = own.unionByName(pooled.withColumn("eff_batch", F.lit(FALLBACK)))
+    controls = keep(controls.withColumn("plate_id", F.monotonically_increasing_id()), "controls")
+    paired = (
+        groups.where("usable").groupBy("cond_id", "cell_line", "eff_batch")
+        .agg(F.sum("n_cells").alias("n_treated"), F.max("n_total").alias("n_total"))
+        .join(controls, ["cell_line", "eff_batch"])
     )
-    pooled_at = control_at.join(fallback_lines, "cell_line", "left_semi").withColumn("eff_batch", F.lit(FALLBACK))
-    placement = treated_at.unionByName(control_at).unionByName(pooled_at)
-    return Matching(groups, pairs, controls, placement)
+    pairs = keep(paired.withColumn("pair_id", F.monotonically_increasing_id()), "pairs")
+    at = [*KEYS, "batch", "is_control"]
+    treated_at = groups.where("usable").join(pairs, ["cond_id", "cell_line", "eff_batch"]).select(*at, "plate_id", "pair_id")
+    nobody = F.lit(None).cast("long").alias("pair_id")
+    control_cells = sizes.where("is_control")
+    own_at = control_cells.withColumn("eff_batch", F.col("batch")).join(controls, ["cell_line", "eff_batch"])
+    pooled_at = control_cells.join(controls.where(F.col("eff_batch") == FALLBACK), "cell_line")
+    placement = treated_at.unionByName(own_at.select(*at, "plate_id", nobody)).unionByName(pooled_at.select(*at, "plate_id", nobody))
+    return Matching(groups, controls, pairs, keep(placement, "placement"))
 
 
 def place(stats: DataFrame, matching: Matching) -> DataFrame:
-    """Kept cells with cond_id and eff_batch. The wide rows are joined to the small placement table."""
+    """Kept cells with plate_id and pair_id. The wide rows are joined to the small placement table."""
     return stats.where("keep").join(matching.placement, [*KEYS, "batch", "is_control"])
 
 
@@ -159,26 +176,26 @@ def plate_summary(matching: Matching, min_cells: int) -> DataFrame:
     )
 
 
-def group_sums(expr: DataFrame) -> DataFrame:
-    """(keys, batch, is_control, gene) sums of expression: the single scan of the counts."""
-    return expr.groupBy(*KEYS, "batch", "is_control", "gene_idx").agg(F.sum("value").alias("s"))
+def group_sums(placed: DataFrame) -> DataFrame:
+    """(plate_id, pair_id, gene_idx) sums of the placed cells' expression: one scan of the counts."""
+    return placed.groupBy("plate_id", "pair_id", "gene_idx").agg(F.sum("value").alias("s"))
 
 
 def control_profiles(sums: DataFrame, controls: DataFrame) -> DataFrame:
-    """Mean control profile per (cell_line, eff_batch, gene), pooled fallback profiles included."""
-    by_batch = sums.where("is_control").groupBy("cell_line", F.col("batch").alias("eff_batch"), "gene_idx").agg(F.sum("s").alias("s"))
-    by_line = by_batch.groupBy("cell_line", "gene_idx").agg(F.sum("s").alias("s")).withColumn("eff_batch", F.lit(FALLBACK))
-    return (
-        by_batch.unionByName(by_line)
-        .join(controls, ["cell_line", "eff_batch"])
-        .select("cell_line", "eff_batch", "gene_idx", (F.col("s") / F.col("n_control")).alias("control"))
+    """Mean control profile per (plate_id, cell_line, eff_batch, gene), pooled fallback profiles included."""
+    total = sums.where("pair_id IS NULL").select("plate_id", "gene_idx", "s")
+    return total.join(controls, "plate_id").select(
+        "plate_id", "cell_line", "eff_batch", "gene_idx", (F.col("s") / F.col("n_control")).alias("control")
     )
 
 
-def line_control_profiles(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+def line_control_profiles(profiles: DataFrame, controls: DataFrame) -> DataFrame:
     """Mean control profile per (cell_line, gene) over all its control cells."""
-    n = sizes.where("is_control").groupBy("cell_line").agg(F.sum("n_cells").alias("n"))
-    total = sums.where("is_control").groupBy("cell_line", "gene_idx").agg(F.sum("s").alias("s"))
+    own = controls.where(F.col("eff_batch") != FALLBACK)
+    n = own.groupBy("cell_line").agg(F.sum("n_control").alias("n"))
+    total = profiles.join(own.select("plate_id", "n_control"), "plate_id").groupBy("cell_line", "gene_idx").agg(
+        F.sum(F.col("control") * F.col("n_control")).alias("s")
+    )
     return total.join(n, "cell_line").select("cell_line", "gene_idx", (F.col("s") / F.col("n")).alias("control"))
 
 
@@ -188,14 +205,12 @@ def profile_entries(sums: DataFrame, matching: Matching, ctrl: DataFrame) -> Dat
     x is the mean over usable cells, control the cell-weighted mean of each batch's own control
     profile. Both parts meet in one aggregation on (cond_id, gene_idx).
     """
-    used = matching.groups.where("usable").select(*KEYS, "batch", "cond_id", "n_total")
-    x_part = (
-        sums.where("NOT is_control").join(used, [*KEYS, "batch"])
-        .select("cond_id", "gene_idx", "n_total", F.col("s").alias("x"), F.lit(0.0).alias("c"))
-    )
-    c_part = (
-        matching.pairs.join(ctrl, ["cell_line", "eff_batch"])
-        .select("cond_id", "gene_idx", "n_total", F.lit(0.0).alias("x"), (F.col("n_treated") * F.col("control")).alias("c"))
+    pairs = matching.pairs.select("pair_id", "plate_id", "cond_id", "n_treated", "n_total")
+    x_part = sums.where("pair_id IS NOT NULL").drop("plate_id").join(pairs, "pair_id").select(
+        "cond_id", "gene_idx", "n_total", F.col("s").alias("x"), F.lit(0.0).alias("c")
+    )
+    c_part = pairs.join(ctrl.select("plate_id", "gene_idx", "control"), "plate_id").select(
+        "cond_id", "gene_idx", "n_total", F.lit(0.0).alias("x"), (F.col("n_treated") * F.col("control")).alias("c")
     )
     n = F.max("n_total")
     return (

@@ -124,18 +124,18 @@ def detect_input_kind(counts: DataFrame, sample_cells: int = 500) -> DataFrame:
     )
 
 
-def expression(stats: DataFrame, genes_kept: DataFrame, median: float, normalize: bool = True) -> DataFrame:
-    """Long expression of kept cells on kept genes, with the cell's keys.
+def expression(
+    cells: DataFrame, genes_kept: DataFrame, median: float, keys: list[str], normalize: bool = True
+) -> DataFrame:
+    """Long expression (keys, gene_idx, value) of kept cells on kept genes.
 
     value = log1p(count / total * median), the total taken over the full vector; absent entries are
     zero. Stays map-only: the vector is unnested in place and the gene axis (a table whose size the
     planner knows) is joined to it.
     """
     scaled = F.log1p(F.col("f.count") / F.col("total_count") * F.lit(median)) if normalize else F.col("f.count")
-    names = ("cell_id", "cell_line", "compound", "dose", "time", "batch", "is_control", "cond_id", "eff_batch", "halves")
-    keys = [c for c in names if c in stats.columns]
     return (
-        stats.where(F.col("keep"))
+        cells.where("keep")
         .select(*keys, "total_count", F.explode("features").alias("f"))
         .where(F.col("f.count") != 0)
         .select(*keys, F.col("f.gene_id").alias("gene_id"), scaled.alias("value"))

@@ -70,10 +70,12 @@ class Build:
         found = qc.median_total(self.cells).first()
         return 1.0 if found is None or found[0] is None else float(found[0])
 
-    def expression(self, stats: DataFrame | None = None) -> DataFrame:
-        return qc.expression(
-            self.stats if stats is None else stats, self.genes, self.median, not self.stored.already_normalized
-        )
+    def expression(self, cells: DataFrame, *keys: str) -> DataFrame:
+        return qc.expression(cells, self.genes, self.median, list(keys), not self.stored.already_normalized)
+
+    @property
+    def placed_expression(self) -> DataFrame:
+        return self.expression(pseudobulk.place(self.stats, self.matching), "plate_id", "pair_id")
 
     @cached_property
     def sizes(self) -> DataFrame:
@@ -81,10 +83,7 @@ class Build:
 
     @cached_property
     def matching(self) -> pseudobulk.Matching:
-        found = pseudobulk.match_controls(self.sizes, self.cfg.min_cells_per_condition)
-        groups, pairs = materialize(found.groups, "groups"), materialize(found.pairs, "pairs")
-        controls, placement = materialize(found.controls, "controls"), materialize(found.placement, "placement")
-        return pseudobulk.Matching(groups, pairs, controls, placement)
+        return pseudobulk.match_controls(self.sizes, self.cfg.min_cells_per_condition, materialize)
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -93,7 +92,7 @@ class Build:
 
     @cached_property
     def sums(self) -> DataFrame:
-        return materialize(pseudobulk.group_sums(self.expression()), "sums")
+        return materialize(pseudobulk.group_sums(self.placed_expression), "sums")
 
     @cached_property
     def control_profiles(self) -> DataFrame:
@@ -106,8 +105,7 @@ class Build:
 
     @cached_property
     def plate_z(self) -> DataFrame:
-        placed = self.expression(pseudobulk.place(self.stats, self.matching))
-        hist = materialize(de.value_histogram(placed), "histogram")
+        hist = materialize(de.value_histogram(self.placed_expression), "histogram")  # read three times
         return de.plate_z(hist, self.matching)
 
     @cached_property
@@ -129,7 +127,7 @@ class Build:
         """Half profiles over the gene axis; with `genes` (gene_idx) only those positions are summed, the rest stay 0."""
         n_rep = n_rep or self.cfg.n_ceiling_reps
         marked = halves.mark_halves(self.stats, self.matching, self.half_cutoffs, n_rep, self.cfg.seed)
-        expr, ctrl = self.expression(marked), self.control_profiles
+        expr, ctrl = self.expression(marked, "pair_id", "halves"), self.control_profiles
         if genes is not None:
             expr, ctrl = expr.join(genes, "gene_idx", "left_semi"), ctrl.join(genes, "gene_idx", "left_semi")
         found = halves.half_profiles(expr, self.matching, ctrl, self.obs, self.n_genes, n_rep)

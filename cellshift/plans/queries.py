@@ -82,7 +82,7 @@ def control_flags(spark, sf_dir):
 @register
 def lognorm_expression(spark, sf_dir):
     b = build(spark, sf_dir)
-    return round_all(named(b.expression().select("cell_id", "gene_idx", "value"), b), "value")
+    return round_all(named(b.expression(b.stats, "cell_id"), b), "value")
 
 
 # --- matching, profiles ----------------------------------------------------------------------
@@ -91,13 +91,13 @@ def lognorm_expression(spark, sf_dir):
 @register
 def control_profiles(spark, sf_dir):
     b = build(spark, sf_dir)
-    return round_all(named(b.control_profiles, b), "control").withColumnRenamed("eff_batch", "batch")
+    return round_all(named(b.control_profiles.drop("plate_id"), b), "control").withColumnRenamed("eff_batch", "batch")
 
 
 @register
 def control_profiles_cell_line(spark, sf_dir):
     b = build(spark, sf_dir)
-    return round_all(named(pseudobulk.line_control_profiles(b.sums, b.sizes), b), "control")
+    return round_all(named(pseudobulk.line_control_profiles(b.control_profiles, b.matching.controls), b), "control")
 
 
 @register
@@ -210,7 +210,7 @@ SIMPLE = ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_cont
 
 
 def sweep(spark: SparkSession, sf_dir: str, **options) -> Sweep:
-    return Sweep.of(build(spark, sf_dir), **options)
+    return Sweep(build(spark, sf_dir), **options)
 
 
 def _fold_query(regime: str) -> None:
@@ -267,14 +267,14 @@ def hvg_selection(spark, sf_dir):
 @register
 def hvg_union(spark, sf_dir):
     b = build(spark, sf_dir)
-    return named(hvg.gene_union(Sweep.of(b).selected), b)
+    return named(hvg.gene_union(Sweep(b).selected), b)
 
 
 @register
 def hvg_coverage(spark, sf_dir):
     """Genes of any fold that a table covering only the random fold's genes would miss."""
     b = build(spark, sf_dir)
-    selected = Sweep.of(b).selected
+    selected = Sweep(b).selected
     available = selected.where("fold = 'random/holdout'").select("gene_idx")
     return named(hvg.uncovered_genes(selected, available), b)
 
@@ -287,7 +287,7 @@ def _long_predictions(b: Build, s: Sweep, predictions: DataFrame, keep: list[str
 def _predictor_query(name: str) -> None:
     def query(spark, sf_dir):
         b = build(spark, sf_dir)
-        s = Sweep.of(b)
+        s = Sweep(b)
         return _long_predictions(b, s, baselines.PREDICTORS[name](s.fit), ["fold", "cond_id", "fallback", "tier"])
 
     QUERIES[f"pred_{name}"] = query
@@ -311,7 +311,7 @@ def fallback_rates(spark, sf_dir):
 def _ridge_query(name: str, regimes: tuple[str, ...]) -> None:
     def query(spark, sf_dir):
         b = build(spark, sf_dir)
-        s = Sweep.of(b, regimes=regimes)
+        s = Sweep(b, regimes=regimes)
         return _long_predictions(b, s, baselines.PREDICTORS[name](s.fit), ["fold", "cond_id", "fallback", "alpha", "n_components"])
 
     QUERIES[f"{name}_predictions"] = query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,21 +26,21 @@ def quick_folds(folds: DataFrame, limit: int = QUICK_FOLDS) -> DataFrame:
 
 @dataclass
 class Sweep:
-    """One sweep over prepared profiles. `halves` is a callable from a gene_idx table to half profiles."""
+    """One sweep over a built dataset (anything with cfg, profiles, de, n_genes and halves)."""
 
-    cfg: Config
-    profiles: DataFrame
-    de: DataFrame
-    n_genes: int
-    halves_for: object
+    build: Any
     quick: bool = False
     regimes: tuple[str, ...] = tuple(splits.REGIMES)
     skip: DataFrame | None = None
     names: tuple[str, ...] | None = None
 
-    @classmethod
-    def of(cls, build, **options) -> "Sweep":
-        return cls(build.cfg, build.profiles, build.de, build.n_genes, build.halves, **options)
+    @property
+    def cfg(self) -> Config:
+        return self.build.cfg
+
+    @property
+    def profiles(self) -> DataFrame:
+        return self.build.profiles
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -62,9 +63,9 @@ class Sweep:
     def selected(self) -> DataFrame:
         """(fold, gene_idx), from training rows only."""
         if self.cfg.gene_set == "all":
-            chosen = hvg.all_genes(self.folds, self.n_genes)
+            chosen = hvg.all_genes(self.folds, self.build.n_genes)
         else:
-            chosen = hvg.select_genes(hvg.fold_gene_variance(self.profiles, self.folds), self.cfg.n_hvg, self.n_genes)
+            chosen = hvg.select_genes(hvg.fold_gene_variance(self.profiles, self.folds), self.cfg.n_hvg, self.build.n_genes)
         if self.quick:
             chosen = hvg.gene_lists(chosen, QUICK_GENES).select("fold", F.explode("genes").alias("gene_idx"))
         return materialize(chosen, "selected")
@@ -79,11 +80,11 @@ class Sweep:
 
     @cached_property
     def halves(self) -> DataFrame:
-        return self.halves_for(hvg.gene_union(self.selected))
+        return self.build.halves(hvg.gene_union(self.selected))
 
     @cached_property
     def truth(self) -> DataFrame:
-        return materialize(metrics.truths(self.fit.exposures, self.profiles, self.de, self.n_genes), "truth")
+        return materialize(metrics.truths(self.fit.exposures, self.profiles, self.build.de, self.build.n_genes), "truth")
 
     @cached_property
     def half(self) -> DataFrame:

@@ -89,7 +89,8 @@ def predictions():
 
 def scores():
     corr = lambda p, t, f="": (
-        f"CASE WHEN count({p}) {f} >= 2 AND min({p}) {f} <> max({p}) {f} AND min({t}) {f} <> max({t}) {f} THEN corr({p}, {t}) {f} END"
+        f"CASE WHEN count({p}) {f} >= 2 AND min({p}) {f} <> max({p}) {f} AND min({t}) {f} <> max({t}) {f} "
+        f"THEN CASE WHEN count({p}) {f} = 2 THEN sign(covar_pop({p}, {t}) {f}) ELSE corr({p}, {t}) {f} END END"
     )
     de = "FILTER (de)"
     return [
