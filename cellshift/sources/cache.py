@@ -13,6 +13,7 @@ from cellshift.config import DETECTION_FRACTION, Config
 from cellshift.operators import halves, hvg, pseudobulk, qc
 from cellshift.plans.dataset import Build
 from cellshift.plans.sweep import Sweep
+import cellshift.sources.orders  # noqa: F401  (registers its loader)
 from cellshift.sources.assay import get_loader
 
 TABLES = ["genes", "profiles", "de", "half_profiles", "half_genes"]
