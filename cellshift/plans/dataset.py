@@ -13,6 +13,7 @@ true sizes and lost executors cannot force a rerun of the scans.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -30,6 +31,12 @@ CELL_COLUMNS = [
 ]
 
 
+def _together(*stages) -> None:
+    with ThreadPoolExecutor(len(stages)) as pool:
+        for stage in [pool.submit(s) for s in stages]:
+            stage.result()
+
+
 @dataclass
 class Build:
     """Lazily built stages of one dataset; each stage is written once and reused."""
@@ -37,6 +44,18 @@ class Build:
     assay: Assay
     cfg: Config
 
+    def prepare(self) -> "Build":
+        """Build the condition-level tables, independent stages side by side.
+
+        The scans of one dataset do not depend on each other once the cells are matched, so their
+        jobs are submitted together and fill the cluster between them.
+        """
+        self.cells
+        _together(lambda: self.n_genes, lambda: self.median, lambda: self.matching)
+        self.obs
+        _together(lambda: self.profiles, lambda: self.de, lambda: self.half_cutoffs)
+        return self
+
     @cached_property
     def stored(self) -> Assay:
         """The assay in row-compressed form; a long source is regrouped and written once."""

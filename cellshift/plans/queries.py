@@ -324,13 +324,17 @@ _ridge_query("ridge_no_drug", ("held_out_drug", "held_out_both"))
 # --- scores and results ----------------------------------------------------------------------
 
 
+def scored_sweep(spark: SparkSession, sf_dir: str, **options) -> Sweep:
+    return Sweep(build(spark, sf_dir).prepare(), **options)
+
+
 def _pairs(s: Sweep) -> tuple[DataFrame, DataFrame]:
     return metrics.scoring_pairs(s.predictions, s.truth, s.half), metrics.truth_pools(s.truth, s.half)
 
 
 def _score_query(representation: str) -> None:
     def query(spark, sf_dir):
-        pairs, _ = _pairs(sweep(spark, sf_dir, names=SIMPLE))
+        pairs, _ = _pairs(scored_sweep(spark, sf_dir, names=SIMPLE))
         scored = metrics.condition_metrics(pairs.where(F.col("baseline") != metrics.CEILING))
         scored = scored.where(F.col("representation") == representation).drop("representation")
         return round_all(scored, "pearson_r", "mae", "pearson_r_de", "direction_acc_de")
@@ -344,26 +348,26 @@ for _representation in metrics.REPRESENTATIONS:
 
 @register
 def pert_discrimination(spark, sf_dir):
-    pairs, pools = _pairs(sweep(spark, sf_dir, names=SIMPLE))
+    pairs, pools = _pairs(scored_sweep(spark, sf_dir, names=SIMPLE))
     return round_all(metrics.pert_discrimination(pairs.where(F.col("baseline") != metrics.CEILING), pools), "pert_discrimination")
 
 
 @register
 def ceiling_scores(spark, sf_dir):
-    s = sweep(spark, sf_dir)
+    s = scored_sweep(spark, sf_dir)
     pairs = metrics.scoring_pairs(None, s.truth, s.half)
     return round_all(metrics.score_conditions(pairs, metrics.truth_pools(s.truth, s.half)), *metrics.METRIC_DIRECTION)
 
 
 @register
 def metric_aggregate(spark, sf_dir):
-    values = metrics.unpivot(sweep(spark, sf_dir, names=SIMPLE).scores)
+    values = metrics.unpivot(scored_sweep(spark, sf_dir, names=SIMPLE).scores)
     return round_all(metrics.aggregate(values, normalize.GROUP), "mean", "std")
 
 
 @register
 def bootstrap_ci(spark, sf_dir):
-    values = metrics.unpivot(sweep(spark, sf_dir, names=SIMPLE).scores)
+    values = metrics.unpivot(scored_sweep(spark, sf_dir, names=SIMPLE).scores)
     values = values.where((F.col("target") == metrics.FULL) & F.col("metric").isin("mae", "pearson_r_de"))
     out = metrics.bootstrap_ci(values, normalize.GROUP, ["cond_id", "rep"], 0, n_boot=40, draws="digest")
     return round_all(out, "ci_low", "ci_high")
@@ -371,7 +375,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @register
 def clustered_ci(spark, sf_dir):
-    return round_all(normalize.clustered_ci(sweep(spark, sf_dir, names=SIMPLE).scores, 0), "ci_low", "ci_high")
+    return round_all(normalize.clustered_ci(scored_sweep(spark, sf_dir, names=SIMPLE).scores, 0), "ci_low", "ci_high")
 
 
 @register
@@ -387,7 +391,7 @@ def policy_tables(spark, sf_dir):
 
 
 def _results(spark, sf_dir, n_boot: int = 1, names: tuple[str, ...] | None = SIMPLE) -> DataFrame:
-    return sweep(spark, sf_dir, names=names).results(n_boot=n_boot)
+    return scored_sweep(spark, sf_dir, names=names).results(n_boot=n_boot)
 
 
 @register
@@ -417,7 +421,7 @@ def b3_vs_b5_gap(spark, sf_dir):
 
 @register
 def b3_vs_b4_gap(spark, sf_dir):
-    s = sweep(spark, sf_dir, regimes=("held_out_context",))
+    s = scored_sweep(spark, sf_dir, regimes=("held_out_context",))
     out = pooling.compare_baselines(s.results(n_boot=1), "per_drug_mean_delta", "ridge")
     return round_all(out, "a_mean", "a_std", "b_mean", "b_std", "gap")
 

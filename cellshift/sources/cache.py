@@ -103,6 +103,6 @@ def load_dataset(spark: SparkSession, cfg: Config, source: str) -> Dataset:
     """
     found = load_stored(spark, cfg, source)
     if found is None:
-        found = store(Build(get_loader(cfg.dataset)(spark, source), cfg), source)
+        found = store(Build(get_loader(cfg.dataset)(spark, source), cfg).prepare(), source)
     hvg.assert_covered(Sweep(found).selected, found.half_genes)
     return found
