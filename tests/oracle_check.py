@@ -34,7 +34,7 @@ def _canonical(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(exact + rest, na_position="last").reset_index(drop=True)
 
 
-def compare(spark_frame: pd.DataFrame, duck_frame: pd.DataFrame, tol: float = 1.5e-6) -> str | None:
+def compare(spark_frame: pd.DataFrame, duck_frame: pd.DataFrame, tol: float = 1e-9) -> str | None:
     """None when equal, otherwise what differs."""
     a, b = _canonical(spark_frame), _canonical(duck_frame)
     if list(a.columns) != list(b.columns):
