@@ -7,10 +7,13 @@ row. Frequent pieces are encoded once per Python worker.
 
 from __future__ import annotations
 
+import array
 import os
 
-MAX_CACHED = 300_000  # pieces kept by a worker, about 60 MB
+MAX_CACHED = 600_000  # pieces kept by a worker, about 120 MB
 
+_PUNCTUATION = b".,;:!?*#&%$"
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")  # letters that no normalisation changes
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -20,6 +23,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_alphabet() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
 class PieceEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes."""
 
@@ -30,39 +40,46 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.max_cached = max_cached
         self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        import array
-
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [array.array("I", x.ids).tobytes() for x in found]
+        self.alphabet = dict(enumerate(_byte_alphabet()))
+
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        """A piece not seen before: a word of plain letters goes straight to the vocabulary, with punctuation behind
+        it apart (the splitter cuts between the two); all else takes the tokenizer's whole way."""
+        low = piece.lower()
+        stem = low.rstrip(_PUNCTUATION)
+        word = stem.decode("utf-8", "replace")
+        if not word or not _PLAIN.issuperset(word):
+            return self._whole(piece.decode("utf-8", "replace"))
+        ids = self.known.get(stem)
+        if ids is None:
+            mapped = word if word.isascii() else stem.decode("latin-1").translate(self.alphabet)
+            ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        if len(stem) == len(low):
+            return ids
+        tail = low[len(stem):]
+        end = self.known.get(tail)
+        if end is None:
+            end = self.known[tail] = self._whole(tail.decode())
+        return ids + end
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        known = self.known
-        split = [(t or b"").replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            room = self.max_cached - len(known)
-            if room < len(fresh):
-                known = {**known, **fresh} if len(fresh) > 50_000 else _Two(known, fresh)
-                if room > 0:
-                    self.known.update((p, fresh[p]) for p in new[:room])
-            else:
-                known.update(fresh)
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
-
-
-class _Two(dict):
-    """Lookups in `fresh` first missed go to the worker's cache."""
-
-    def __init__(self, known: dict, fresh: dict):
-        super().__init__(fresh)
-        self.known = known
-
-    def __missing__(self, key):
-        return self.known[key]
+        out, get = [], self.known.get
+        fresh = self.known if len(self.known) < self.max_cached else {}  # once full, pieces are kept for these texts only
+        for text in texts:
+            pieces = (text or b"").replace(b"\n", b" ").split(b" ")
+            ids = list(map(get, pieces))
+            if None in ids:
+                for i, known in enumerate(ids):
+                    if known is None:
+                        piece = pieces[i]
+                        ids[i] = fresh.get(piece)
+                        if ids[i] is None:
+                            ids[i] = fresh[piece] = self._piece(piece)
+            out.append(b"".join(ids))
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
