@@ -1,17 +1,23 @@
-"""Session construction and durable intermediate tables."""
+"""Session construction, the package on the executors, and durable intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_local_fallback: dict[str, str] = {}
+_shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
-def get_spark(app: str = "cellshift", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(app: str = "cellshift", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
     """A session with the settings the operators assume. Cluster sizing stays with spark-submit."""
     builder = (
         SparkSession.builder.appName(app)
@@ -24,23 +30,59 @@ def get_spark(app: str = "cellshift", master: str | None = None, shuffle_partiti
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared:
+        builder = builder.config(_CHECKPOINT_KEY, shared)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package (and the modules beside it that it runs from), once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="cellshift-package-")  # the driver serves the archive from here; no data goes in
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "cellshift_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in [*package.rglob("*.py"), *package.parent.glob("corpus_pipeline.py")]:
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: what the cluster names in spark.checkpoint.dir.
 
-    Only a local session that names none gets a temporary folder of its own.
+    Where that is unset, intermediate tables go below the warehouse, which executors share as well. On a
+    cluster a folder of the driver's own disk is refused.
     """
     named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder shared by all executors")
+    return f"{warehouse}/intermediate"
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables; it goes when the application ends."""
     app = spark.sparkContext.applicationId
-    if app not in _local_fallback:
-        _local_fallback[app] = tempfile.mkdtemp(prefix="cellshift-")
-    return _local_fallback[app]
+    path = f"{shared_dir(spark)}/cellshift/{app}"
+    if _folders.get(app) != path:
+        _folders[app] = path
+        atexit.register(clear_tables, spark)
+    return path
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Call it before stop(); at exit it runs by itself."""
+    context = spark.sparkContext
+    if context._jsc is None or context.applicationId not in _folders:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(_folders.pop(context.applicationId))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +92,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     broadcast decisions, and keeps column pruning for later readers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellshift/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
