@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellshift.llm import kk_sharding, packing, simhash, token_counts, topk_search
-from cellshift.llm.common import read
+from cellshift.llm import byte_cnn, decontamination, kk_sharding, license_scan, packing, simhash, surrogates, token_counts, topk_search, toxicity_crf
+from cellshift.llm.common import held_out, materialize, read
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(read(spark, sf_dir, "documents"), ["source"])
-    return token_counts.suffix_sums(token_counts.materialize(histogram, "lengths"), ["source"])
+    return token_counts.suffix_sums(materialize(histogram, "lengths"), ["source"])
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity_crf.Model | None:
+    learned = ~held_out("doc_id", 5, 0)
+    return toxicity_crf.fit(read(spark, sf_dir, "documents").where(learned), read(spark, sf_dir, "labels").where(learned))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_crf.score(read(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +37,6 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     placed = kk_sharding.shard(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -28,9 +45,22 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents")))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_simhash, op6_kk_sharding, op7_packing, op9_topk_search)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = byte_cnn.fit(documents.where(~held_out("doc_id", 3, 1)))
+    return byte_cnn.predict(documents, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_toxicity, op3_decontamination, op4_license_scan, op5_simhash, op6_kk_sharding, op7_packing, op8_surrogates, op9_topk_search, op10_language_id)
+}
 ORACLE: dict[str, str] = {}
