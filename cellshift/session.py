@@ -66,7 +66,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse}/intermediate"
 
 
-def _run_dir(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
     """This application's folder of intermediate tables; it goes when the application ends."""
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/cellshift/{app}"
@@ -92,6 +92,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     broadcast decisions, and keeps column pruning for later readers.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
