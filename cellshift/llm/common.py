@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellshift.session import materialize
 
-__all__ = ["batch_slices", "gapless_rank", "held_out", "materialize", "read", "text_bytes"]
+__all__ = ["batch_slices", "gapless_rank", "held_out", "let", "materialize", "read", "stratified", "text_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,3 +75,9 @@ def stratified(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id
     drawn = usable.join(F.broadcast(counts.orderBy(F.col("count").desc()).limit(1000)), stratum).where(F.pmod(mark, F.lit(steps)) < share * steps)
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(mark))
     return drawn.withColumn("__rank", rank).where(F.col("__rank") <= per_stratum).drop("__rank", "count")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: the optimiser merges projections and would otherwise repeat a costly
+    expression at each mention, inside lambdas even for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.common import materialize
+from cellshift.llm.common import let, materialize
 
 WIDTH, COVERAGE, BROADCAST_WINDOWS = 5, 0.5, 500_000
 # Units that become a placeholder behind a number.
@@ -52,27 +52,26 @@ def canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def windows(codes: str, width: int = WIDTH) -> Column:
-    """Hashes of all runs of `width` word hashes, in order; of all when there are fewer."""
-    count = F.size(codes) - width
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col(codes), i + 1, width)))
-    return F.when(F.size(codes) > 0, runs).otherwise(F.array().cast("array<bigint>"))
+def windows(words: Column, width: int = WIDTH) -> Column:
+    """Hashes of all runs of `width` canonical words, in order; of all words when there are fewer."""
 
+    def runs(codes: Column) -> Column:
+        count = F.size(codes) - width
+        each = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: F.xxhash64(F.slice(codes, i + 1, width)))
+        return F.when(F.size(codes) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
-def _hashed(rows: DataFrame, width: int) -> DataFrame:
-    """Adds __raw, __words and __runs, each computed once per text."""
-    worded = rows.withColumn("__raw", F.coalesce(raw_words(), F.array().cast("array<string>")))
-    worded = worded.withColumn("__words", canonical(F.col("__raw")))
-    return worded.withColumn("__codes", F.transform("__words", lambda w: F.xxhash64(w))).withColumn("__runs", windows("__codes", width))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, slots, kind): kind is `same` where every slot has the item's
     value, else `reparameterised`. matched counts the item's windows found in the document."""
-    item_rows = _hashed(items.select("item_id", "text").where(F.col("text").isNotNull()), width).where(F.size("__words") > 0)
+    item_rows = items.select("item_id", "text").where(F.col("text").isNotNull()).withColumn("__raw", raw_words())
+    item_rows = materialize(item_rows.select("item_id", "__raw", let(F.col("__raw"), canonical).alias("__words")).where(F.size("__words") > 0), "items")
+    item_rows = item_rows.withColumn("__runs", windows(F.col("__words"), width))
     slot_places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.startswith(F.coalesce(F.get(F.col("__words"), F.col("place") + j), F.lit("")), F.lit("\u0001")))
-    item_windows = item_rows.withColumn("__item", F.monotonically_increasing_id()).select(
-        "item_id", "__item", "__raw", "__words", F.size("__runs").alias("windows"), F.posexplode("__runs").alias("place", "run")
+    item_windows = item_rows.select(
+        "item_id", "__raw", "__words", F.size("__runs").alias("windows"), F.posexplode("__runs").alias("place", "run")
     ).withColumn("slots_at", slot_places)
     index = materialize(item_windows.select(
         "item_id", "windows", "place", "run", F.transform("slots_at", lambda j: F.struct(j.alias("at"), F.lower(F.ltrim(F.get("__raw", F.col("place") + j), F.lit(_MARKS))).alias("value"))).alias("item_slots"),
@@ -80,7 +79,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
     runs = index.select(F.col("run").alias("known")).distinct()
     small = runs.count() <= BROADCAST_WINDOWS
     keyed = docs.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("same", F.xxhash64("text"))
-    exploded = _hashed(keyed, width).select("doc_id", "same", F.posexplode("__runs").alias("doc_place", "run"))
+    hashed = let(raw_words(), lambda raw: windows(canonical(raw), width))
+    exploded = keyed.select("doc_id", "same", F.posexplode_outer(hashed).alias("doc_place", "run"))  # outer: no filter below repeats the hashing
     hits = materialize(exploded.join(F.broadcast(runs) if small else runs, F.col("run") == F.col("known"), "left_semi"), "window-hits")
     # coverage first: few documents pass it, and only their places are looked at further
     pairs = hits.select("doc_id", "same", "run").distinct().join(index.select("item_id", "windows", "place", "run"), "run")

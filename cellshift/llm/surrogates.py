@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.common import materialize
+from cellshift.llm.common import let, materialize
 
 KEY = "surrogate-key"  # a parameter of every call; keep the real one out of the code
 
@@ -94,24 +94,29 @@ def _letter(c: Column, number: Column, hexadecimal: Column) -> Column:
 
 def _spelled(e: Column, kind: Column, seed: Column) -> Column:
     """e with letters and digits replaced in place, the kind's fixed beginning kept."""
-    bare = F.regexp_replace(e, _NOT_ALNUM, "")
-    kept = F.when(kind == "aws", 4).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", F.length(F.regexp_replace(F.regexp_extract(e, r"^\+(\d+)", 1), r"\D", ""))).otherwise(0)
-    hexadecimal = (kind == "secret") & e.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
 
-    def one(i: Column) -> Column:
-        c, number = F.substring(bare, i, F.lit(1)), _byte(seed, i)
-        digit = F.when(kind == "aws", 2 + number % 6).when((kind == "phone") & (i == kept + 1), 2 + number % 8).otherwise(number % 10)
-        return F.when(i <= kept, c).when(c.rlike(r"^\p{N}$"), digit.cast("string")).otherwise(_letter(c, number, hexadecimal))
+    def new(bare: Column, kept: Column, hexadecimal: Column) -> Column:
+        def one(i: Column) -> Column:
+            c, number = F.substring(bare, i, F.lit(1)), _byte(seed, i)
+            digit = F.when(kind == "aws", 2 + number % 6).when((kind == "phone") & (i == kept + 1), 2 + number % 8).otherwise(number % 10)
+            return F.when(i <= kept, c).when(c.rlike(r"^\p{N}$"), digit.cast("string")).otherwise(_letter(c, number, hexadecimal))
 
-    new = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1))), one), "")
-    new = F.when((kind == "card") & (_luhn(bare) % 10 == 0), _checked(new)).otherwise(new)
+        spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1))), one), "")
+        return F.when((kind == "card") & (_luhn(bare) % 10 == 0), let(spelled, _checked)).otherwise(spelled)
 
-    def back(j: Column) -> Column:
-        c = F.substring(e, j, F.lit(1))
-        nth = F.length(F.regexp_replace(F.substring(e, F.lit(1), j), _NOT_ALNUM, ""))
-        return F.when(c.rlike(_NOT_ALNUM), c).otherwise(F.substring(new, nth, F.lit(1)))
+    def back(letters: Column) -> Column:
+        def one(j: Column) -> Column:
+            c = F.substring(e, j, F.lit(1))
+            nth = F.length(F.regexp_replace(F.substring(e, F.lit(1), j), _NOT_ALNUM, ""))
+            return F.when(c.rlike(_NOT_ALNUM), c).otherwise(F.substring(letters, nth, F.lit(1)))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(e), F.lit(1))), back), "")
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(e), F.lit(1))), one), "")
+
+    country = F.length(F.regexp_extract(e, r"^\+(\d+)", 1))
+    kept = F.when(kind == "aws", 4).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", country).otherwise(0)
+    hexadecimal = (kind == "secret") & e.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
+    bare = F.regexp_replace(e, _NOT_ALNUM, "")
+    return let(let(F.struct(bare.alias("b"), kept.alias("k"), hexadecimal.alias("h")), lambda x: new(x.b, x.k, x.h)), back)
 
 
 def _luhn(digits: Column) -> Column:
@@ -154,13 +159,15 @@ def _name(e: Column, key: str, attempt: Column) -> Column:
 
 def surrogate(e: Column, key: str, attempt: Column) -> Column:
     """The replacement of an entity at an attempt, from 0."""
-    kind = kind_of(e)
-    seed = _seed(key, kind, canonical(e, kind), attempt.cast("string"))
-    local, domain = F.substring_index(e, "@", 1), F.lower(F.substring_index(e, "@", -1))
-    host = F.concat(F.lit("@h"), F.substring(_seed(key, "host", domain), 1, 8), F.lit(".example.org"))
-    ip = F.concat_ws(".", (1 + _byte(seed, 0) % 223).cast("string"), *[_byte(seed, i).cast("string") for i in (1, 2, 3)])
-    out = F.when(kind == "email", F.concat(_spelled(local, kind, seed), host)).when(kind == "ip", ip).when(kind == "name", _name(e, key, attempt.cast("string")))
-    return out.otherwise(_spelled(e, kind, seed))
+
+    def made(kind: Column, seed: Column) -> Column:
+        local, domain = F.substring_index(e, "@", 1), F.lower(F.substring_index(e, "@", -1))
+        host = F.concat(F.lit("@h"), F.substring(_seed(key, "host", domain), 1, 8), F.lit(".example.org"))
+        ip = F.concat_ws(".", (1 + _byte(seed, 0) % 223).cast("string"), *[_byte(seed, i).cast("string") for i in (1, 2, 3)])
+        name = _name(e, key, attempt.cast("string"))
+        return F.when(kind == "ip", ip).when(kind == "name", name).when(kind == "email", F.concat(_spelled(local, kind, seed), host)).otherwise(_spelled(e, kind, seed))
+
+    return let(kind_of(e), lambda kind: let(_seed(key, kind, canonical(e, kind), attempt.cast("string")), lambda seed: made(kind, seed)))
 
 
 def entities(text: str = "text") -> Column:

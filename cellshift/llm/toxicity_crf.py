@@ -95,7 +95,8 @@ class WordScores:
 
 
 def emissions(scores: WordScores, words: list[str]) -> np.ndarray:
-    e = scores.values[scores.rows(words)] if words else np.zeros((0, 3), np.float32)
+    rows = scores.rows(words)  # may grow the table
+    e = scores.values[rows] if words else np.zeros((0, 3), np.float32)
     out = e[:, 0].astype(np.float64)
     out[1:] += e[:-1, 1]
     out[:-1] += e[1:, 2]
