@@ -1,8 +1,8 @@
 """Operator 2: toxic spans by a linear-chain conditional random field over two tags.
 
 Labels mark documents, not words, so token labels are made first: over a bounded sample of labelled
-documents Spark counts in how many toxic and clean ones each word and each four-letter beginning occurs;
-those that chance cannot explain mark their tokens as toxic. The field is fitted to windows around such
+documents Spark counts in how many toxic and clean ones each word and each word beginning occurs; those that
+chance cannot explain mark their tokens in toxic documents. Their occurrences in clean documents stay clean. The field is fitted to windows around such
 tokens and windows of clean texts (own, previous and next word's features, hashed; transitions), so that it
 learns from context and word parts what the counts are too thin for. Forward-backward marginals of whole
 texts aggregate to three figures (highest log-odds, expected toxic tokens, their density) that a logistic
@@ -35,7 +35,8 @@ from cellshift.llm.common import batch_slices, materialize, stratified, text_byt
 PER_CLASS = 2500
 DIM, REACH, WINDOWS_PER_DOC, CHUNK = 1 << 18, 12, 3, 64
 _WORD = re.compile(r"[^\W_]+")
-_OWN, _BEFORE, _AFTER = "wabcs", "xy", "uv"
+STARTS = (4, 5, 6, 7, 8)  # lengths of word beginnings that count as features
+N_FEATURES = 1 + len(STARTS) + 4
 
 
 def tokens(text: str) -> list[str]:
@@ -53,8 +54,8 @@ def _slot(kind: str, value: str) -> int:
 
 
 def features(word: str) -> tuple[list[int], list[int], list[int]]:
-    """Slots of a word's features for its own tag, for the next word's tag and for the previous word's."""
-    own = [_slot("w", word), _slot("a", word[:3]), _slot("b", word[:4]), _slot("c", word[:5]), _slot("s", word[-3:])]
+    """Slots of a word's features (itself, its beginnings) for its own tag, for the next word's and for the previous word's."""
+    own = [_slot("w", word), *[_slot("p", word[:k]) if len(word) >= k else DIM for k in STARTS]]
     return own, [_slot("x", word), _slot("y", word[:4])], [_slot("u", word), _slot("v", word[:4])]
 
 
@@ -89,7 +90,7 @@ class WordScores:
                         row = index[words[i]] = len(index)
                         if row == len(self.values):
                             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-                        self.values[row] = [self.weights[s].sum() for s in features(words[i])]
+                        self.values[row] = [sum(self.weights[x] for x in s if x < DIM) for s in features(words[i])]
                     found[i] = row
         return np.array(found, dtype=np.int64)
 
@@ -160,13 +161,13 @@ def summary(odds: np.ndarray) -> list[float]:
     return [float(np.clip(odds.max(), -30, 30)), float(np.log1p(p.sum())), float(np.log1p(100 * p.mean()))]
 
 
-def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 4, batch: int = 128, rate: float = 0.08, decay: float = 1e-5, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 6, batch: int = 128, rate: float = 0.4, decay: float = 1e-5, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Adagrad on the conditional log-likelihood of tagged windows of equal length at most 2 * REACH + 1."""
     rng, width = np.random.default_rng(seed), 2 * REACH + 1
     slots = {w: features(w) for ws in words for w in ws}
-    pad = ([DIM] * 5, [DIM] * 2, [DIM] * 2)
+    pad = ([DIM] * (1 + len(STARTS)), [DIM] * 2, [DIM] * 2)
     n = len(words)
-    ids, gold, live = np.full((n, width, 9), DIM, dtype=np.int32), np.zeros((n, width), dtype=np.int8), np.zeros((n, width), dtype=bool)
+    ids, gold, live = np.full((n, width, N_FEATURES), DIM, dtype=np.int32), np.zeros((n, width), dtype=np.int8), np.zeros((n, width), dtype=bool)
     for i, (ws, ts) in enumerate(zip(words, tags, strict=True)):
         parts = [pad, *[slots[w] for w in ws], pad]
         for t in range(len(ws)):
@@ -196,7 +197,7 @@ def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 4,
                 back = (m[None] * np.stack([np.ones(k), w[:, t]], axis=1)[:, None, :] * b[:, None, :]).sum(axis=2)
                 b = np.where(on[:, t, None], back / back.sum(axis=1, keepdims=True), b)
             touched, inverse = np.unique(ids[rows], return_inverse=True)
-            g = np.bincount(inverse.reshape(-1), np.repeat(grad_e[:, :, None], 9, axis=2).reshape(-1), len(touched)) - decay * k * weights[touched]
+            g = np.bincount(inverse.reshape(-1), np.repeat(grad_e[:, :, None], N_FEATURES, axis=2).reshape(-1), len(touched)) - decay * k * weights[touched]
             seen[touched] += g * g
             weights[touched] += rate * g / np.sqrt(seen[touched])
             weights[DIM] = 0
@@ -206,10 +207,10 @@ def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 4,
 
 
 def train_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps on standardised features, both classes weighing alike."""
+    """Logistic regression by Newton steps on standardised features, clean documents weighing three times as much."""
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([np.ones(len(x)), (x - centre) / spread])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    weight = np.where(y == 1, 0.25 / max(1, (y == 1).sum()), 0.75 / max(1, (y == 0).sum())) * len(y)
     c = np.zeros(z.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
@@ -219,16 +220,22 @@ def train_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.n
     return c, centre, spread
 
 
-def indicators(sample: DataFrame, n_toxic: int, n_clean: int) -> tuple[set[str], set[str]]:
-    """Words and four-letter beginnings whose toxic documents chance cannot explain: with t toxic documents and
-    at most 2 % as many clean ones (per class size), share^t must stay below 0.001 over all features counted."""
+def indicators(sample: DataFrame, n_toxic: int, n_clean: int, least: float = 14.0, ratio: float = 4.0) -> tuple[set[str], set[str]]:
+    """Words and word beginnings whose toxic documents chance cannot explain: the log-likelihood ratio of their t
+    toxic and c clean documents against the classes' shares exceeds `least` (about 1e-6 by chance), and they are
+    at least `ratio` times as frequent in toxic documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    starts = F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 5), lambda w: F.concat(F.lit("^"), F.substring(w, 1, 4))))
-    each = sample.select("toxic", F.explode(F.concat(words, starts)).alias("feature"))
+    worded = sample.select("toxic", F.explode(F.array(words)).alias("words"))
+
+    def starts(k: int):
+        return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.lit("^"), F.substring(w, 1, k)))
+
+    each = worded.select("toxic", F.explode(F.array_distinct(F.concat("words", *[starts(k) for k in STARTS]))).alias("feature"))
     counts = each.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    share = n_toxic / (n_toxic + n_clean)
-    least = int(np.ceil(np.log(1e8) / -np.log(share))) if 0 < share < 1 else 1
-    found = [r["feature"] for r in counts.where((F.col("t") >= least) & (F.col("c") / n_clean <= 0.02 * F.col("t") / n_toxic)).collect()]
+    share, n = n_toxic / (n_toxic + n_clean), F.col("t") + F.col("c")
+    gain = F.col("t") * F.log(F.col("t") / n / share) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / (1 - share))).otherwise(0)
+    marked = counts.where((F.col("t") > 1) & (gain > least) & (F.col("t") / n_toxic >= ratio * F.col("c") / n_clean))
+    found = [r["feature"] for r in marked.collect()]  # of a sample that the parameters bound
     return {f for f in found if f[0] != "^"}, {f[1:] for f in found if f[0] == "^"}
 
 
@@ -249,8 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             out_w, out_t = [], []
             for text, toxic in zip(text_bytes(batch), batch.column("toxic").to_pylist(), strict=True):
                 ws = tokens(text.decode("utf-8", "replace"))
-                ts = [int(bool(toxic) and (w in words or (len(w) >= 5 and w[:4] in starts))) for w in ws]
-                hits = [i for i, t in enumerate(ts) if t]
+                hits = [i for i, w in enumerate(ws) if w in words or any(w[:k] in starts for k in STARTS if len(w) >= k)]
+                ts = [0] * len(ws)
+                for i in hits if toxic else ():
+                    ts[i] = 1
                 rng = np.random.default_rng(zlib.crc32(text))
                 centres = list(rng.permutation(hits)[:WINDOWS_PER_DOC]) if hits else []
                 if not toxic or centres:  # a toxic text without marks says nothing about its tokens
