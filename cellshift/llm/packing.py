@@ -58,7 +58,7 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
     fits; {j, k} when they fill the sequence, when no third piece fits beside j and another, or when no
     feasible pair beside j exceeds k and no feasible triple exists. Else j is left to best fit.
     """
-    left, fixed, rest = dict(counts), [], {}
+    left, fixed = dict(counts), []
     lengths = sorted(left)
 
     def total(values: list[int], n: int) -> int | None:
@@ -84,33 +84,33 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
                 best, low = max(best, s), low + 1
         return best
 
-    while lengths:
-        j = lengths[-1]
+    at_j = len(lengths) - 1
+    while at_j >= 0:  # longest first; pieces passed over stay partners of the shorter ones
+        j = lengths[at_j]
         left[j] -= 1  # one j is looked at; the others stay candidates
-        beside = lengths if left[j] else lengths[:-1]
+        beside = lengths if left[j] else [*lengths[:at_j], *lengths[at_j + 1 :]]
         room = capacity - j
         at = bisect.bisect_right(beside, room) - 1
         if at < 0:
             fixed.append((left[j] + 1, [(j, 1)]))
-            lengths.pop()
-            continue
-        k = beside[at]
-        two, three = total(beside, 2), total(beside, 3)
-        dominates = k == room or two is None or two > room
-        if not dominates and (three is None or three > room):
-            dominates = pair(beside[: at + 1], room) <= k
-        left[j] += 1
-        if not dominates:
-            rest[j] = left[j]
-            lengths.pop()
-            continue
-        times = left[j] // 2 if k == j else min(left[j], left[k])  # fewer pieces leave fewer rivals: it holds for all
-        fixed.append((times, [(j, 2)] if k == j else [(j, 1), (k, 1)]))
-        for x in {j, k}:
-            left[x] -= times * (2 if k == j else 1)
-            if not left[x]:
-                lengths.remove(x)
-    return fixed, rest
+            left[j] = 0
+        else:
+            k = beside[at]
+            two, three = total(beside, 2), total(beside, 3)
+            dominates = k == room or two is None or two > room
+            if not dominates and (three is None or three > room):
+                dominates = pair(beside[: at + 1], room) <= k
+            left[j] += 1
+            if not dominates:
+                at_j -= 1
+                continue
+            times = left[j] // 2 if k == j else min(left[j], left[k])  # fewer pieces leave fewer rivals: it holds for all
+            fixed.append((times, [(j, 2)] if k == j else [(j, 1), (k, 1)]))
+            for x in {j, k}:
+                left[x] -= times * (2 if k == j else 1)
+        lengths = [x for x in lengths if left[x]]
+        at_j = min(bisect.bisect_right(lengths, j) - 1, len(lengths) - 1)
+    return fixed, {x: left[x] for x in lengths}
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

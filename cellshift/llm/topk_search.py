@@ -97,7 +97,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q_ids, c_ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        q, c = np.array(left["v"].tolist(), dtype=float).reshape(len(left), -1), np.array(right["v"].tolist(), dtype=float).reshape(len(right), -1)
+        q, c = (np.array(x["v"].tolist(), dtype=float).reshape(len(x), int(x["dim"].iloc[0])) for x in (left, right))
         step = max(1, (8 << 20) // max(1, 8 * len(c)))  # about 8 MB a bound matrix
         parts = [block_top(q_ids[a : a + step], q[a : a + step], c_ids, c, k) for a in range(0, len(q), step)]
         ids = np.concatenate([q_ids[a : a + step][p[0]] for a, p in zip(range(0, len(q), step), parts, strict=True)])

@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from cellshift.llm.common import batch_slices, materialize, stratified, text_bytes
 
 PER_CLASS = 2500
+FLOOR = -2.0
 DIM, REACH, WINDOWS_PER_DOC, CHUNK = 1 << 18, 12, 3, 64
 _WORD = re.compile(r"[^\W_]+")
 STARTS = (4, 5, 6, 7, 8)  # lengths of word beginnings that count as features
-N_FEATURES = 1 + len(STARTS) + 4
+N_FEATURES = 2 + len(STARTS) + 4
 
 
 def tokens(text: str) -> list[str]:
@@ -54,8 +55,8 @@ def _slot(kind: str, value: str) -> int:
 
 
 def features(word: str) -> tuple[list[int], list[int], list[int]]:
-    """Slots of a word's features (itself, its beginnings) for its own tag, for the next word's and for the previous word's."""
-    own = [_slot("w", word), *[_slot("p", word[:k]) if len(word) >= k else DIM for k in STARTS]]
+    """Slots of a word's features (a constant, itself, its beginnings) for its own tag, for the next word's and for the previous word's."""
+    own = [_slot("bias", ""), _slot("w", word), *[_slot("p", word[:k]) if len(word) >= k else DIM for k in STARTS]]
     return own, [_slot("x", word), _slot("y", word[:4])], [_slot("u", word), _slot("v", word[:4])]
 
 
@@ -154,18 +155,18 @@ def marginals(emission: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]
 
 
 def summary(odds: np.ndarray) -> list[float]:
-    """Highest log-odds, expected toxic tokens (log), their share (log)."""
+    """Highest log-odds, expected toxic tokens (log), their share (log); tokens below FLOOR are plainly clean and count alike."""
     if not len(odds):
-        return [-30.0, 0.0, 0.0]
-    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return [float(np.clip(odds.max(), -30, 30)), float(np.log1p(p.sum())), float(np.log1p(100 * p.mean()))]
+        return [FLOOR, 0.0, 0.0]
+    p = np.where(odds > FLOOR, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), 0)
+    return [float(np.clip(odds.max(), FLOOR, -4 * FLOOR)), float(np.log1p(p.sum())), float(np.log1p(100 * p.mean()))]
 
 
-def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 6, batch: int = 128, rate: float = 0.4, decay: float = 1e-5, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 6, batch: int = 128, rate: float = 0.4, decay: float = 1e-5, hide: float = 0.25, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Adagrad on the conditional log-likelihood of tagged windows of equal length at most 2 * REACH + 1."""
     rng, width = np.random.default_rng(seed), 2 * REACH + 1
     slots = {w: features(w) for ws in words for w in ws}
-    pad = ([DIM] * (1 + len(STARTS)), [DIM] * 2, [DIM] * 2)
+    pad = ([DIM] * (2 + len(STARTS)), [DIM] * 2, [DIM] * 2)
     n = len(words)
     ids, gold, live = np.full((n, width, N_FEATURES), DIM, dtype=np.int32), np.zeros((n, width), dtype=np.int8), np.zeros((n, width), dtype=bool)
     for i, (ws, ts) in enumerate(zip(words, tags, strict=True)):
@@ -177,8 +178,10 @@ def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 6,
     moves, moved = np.zeros((2, 2)), np.full((2, 2), 1e-6)
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(n), -(-n // batch)):
-            e = weights[ids[rows]].sum(axis=2)
             k, y, on = len(rows), gold[rows].astype(int), live[rows]
+            used = ids[rows]  # a copy
+            used[(y == 0) & (rng.random(y.shape) < hide), 1:] = DIM  # only the constant left: unknown words are clean ones
+            e = weights[used].sum(axis=2)
             m, w = np.exp(moves), np.exp(np.clip(e, -30, 30))
             a = np.empty((width + 1, k, 2))
             a[0] = [1, 0]
@@ -196,7 +199,7 @@ def train_field(words: list[list[str]], tags: list[list[int]], epochs: int = 6,
                 np.add.at(grad_m, (before[on[:, t], t], y[on[:, t], t]), 1)
                 back = (m[None] * np.stack([np.ones(k), w[:, t]], axis=1)[:, None, :] * b[:, None, :]).sum(axis=2)
                 b = np.where(on[:, t, None], back / back.sum(axis=1, keepdims=True), b)
-            touched, inverse = np.unique(ids[rows], return_inverse=True)
+            touched, inverse = np.unique(used, return_inverse=True)
             g = np.bincount(inverse.reshape(-1), np.repeat(grad_e[:, :, None], N_FEATURES, axis=2).reshape(-1), len(touched)) - decay * k * weights[touched]
             seen[touched] += g * g
             weights[touched] += rate * g / np.sqrt(seen[touched])
