@@ -298,7 +298,8 @@ def _scored(model: Model | None, token: str, texts: list[str]) -> tuple[np.ndarr
         _scorers[token] = WordScores(model.weights)
     odds = marginals([emissions(_scorers[token], tokens(t)) for t in texts], model.moves)
     x = (np.array([summary(o) for o in odds]).reshape(-1, 3) - model.centre) / model.spread
-    return 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:], -30, 30))), odds
+    cleaner = np.array([np.clip(o.max(), -30, FLOOR) - FLOOR if len(o) else -30 - FLOOR for o in odds])  # orders the clean ones
+    return 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:] + 0.05 * cleaner, -30, 30))), odds
 
 
 def spans(text: str, odds: np.ndarray) -> list[tuple[int, int, float]]:
