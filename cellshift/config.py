@@ -18,6 +18,7 @@ MIN_DETECTED_CELLS = 3
 _LOCATION_FIELDS = {"cache_dir", "out_dir"}
 
 
+# Names and defaults of the benchmark's settings.
 @dataclass(frozen=True)
 class Config:
     dataset: str = "sciplex3"

@@ -22,9 +22,8 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float
         .agg(F.count("*").alias("n"))
     )
     span = hist.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    total = span.select("total").scalar()
-    position = F.coalesce(F.try_divide((F.col("v") - lo) * N_BUCKETS, hi - lo), F.lit(0.0))
+    known = span.select(F.struct("lo", "hi", "total")).scalar()
+    position = F.coalesce(F.try_divide((F.col("v") - known["lo"]) * N_BUCKETS, known["hi"] - known["lo"]), F.lit(0.0))
     bucketed = hist.withColumn("b", F.least(F.floor(position), F.lit(N_BUCKETS - 1)).cast("int"))
 
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most N_BUCKETS rows
@@ -41,7 +40,7 @@ def exact_percentiles(df: DataFrame, value: str | Column, probs: dict[str, float
     after = F.col("before") + F.col("size")
     held = lambda k: (k >= F.col("before")) & (k < after)
     hits = (
-        sizes.withColumn("total", total)
+        sizes.withColumn("total", known["total"])
         .withColumn("w", wanted)
         .where(F.exists("w", lambda w: held(w["k0"]) | held(w["k1"])))
         .select("b", "before", "w")

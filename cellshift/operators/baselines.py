@@ -132,12 +132,14 @@ for _name, _fn in [
     ("ridge", ridge), ("ridge_no_drug", ridge_no_drug), ("nearest_context", nearest_context),
 ]:
     register_predictor(_name, _fn)
+BUILT_IN = frozenset(PREDICTORS)  # what a caller registers beyond these runs in every regime
 
 
 def predictors_for(regime: str) -> list[str]:
     """Regimes with unseen compounds use the compound-free ridge."""
     linear = "ridge_no_drug" if regime in ("held_out_drug", "held_out_both") else "ridge"
-    return ["no_change", "global_mean_delta", "per_drug_mean_delta", linear, "nearest_context"]
+    added = [name for name in PREDICTORS if name not in BUILT_IN]
+    return ["no_change", "global_mean_delta", "per_drug_mean_delta", linear, "nearest_context", *added]
 
 
 def predict_all(fit: Fit, names: list[str] | None = None) -> DataFrame:

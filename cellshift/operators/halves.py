@@ -13,16 +13,6 @@ from cellshift.functions import arrays, keyed
 from cellshift.operators.pseudobulk import Matching, place
 
 PURPOSE = "halves"
-BYTES_BUDGET = 2 * 1024**3
-REDUCED_REPS = 5
-
-
-def rep_budget(n_rep: int, n_conditions: int, n_genes: int) -> tuple[int, dict | None]:
-    """Repetitions to run: cut to 5 when the half profiles would exceed 2 GiB at four bytes a value."""
-    estimate = n_rep * 2 * n_conditions * n_genes * 4
-    if estimate > BYTES_BUDGET and n_rep > REDUCED_REPS:
-        return REDUCED_REPS, {"from": n_rep, "to": REDUCED_REPS, "estimated_bytes": estimate}
-    return n_rep, None
 
 
 def half_cutoffs(cells: DataFrame, matching: Matching, n_rep: int, seed: int, largest_group: int) -> DataFrame:
@@ -37,28 +27,25 @@ def half_cutoffs(cells: DataFrame, matching: Matching, n_rep: int, seed: int, la
 
 
 def mark_halves(cells: DataFrame, matching: Matching, cutoffs: DataFrame, n_rep: int, seed: int) -> DataFrame:
-    """Placed treated cells with `halves`, a bit set: bit r is on when the cell is in the first half of repetition r.
+    """Placed treated cells with `halves`, an array of flags: element r is true when the cell is in the first half of repetition r.
 
     Only the small tables of placements and cutoffs are joined to the wide rows.
     """
     packed = cutoffs.groupBy("pair_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rep", "cutoff"))), lambda s: s["cutoff"]).alias("cuts")
     )
-    bits = F.lit(0).cast("long")
-    for rep in range(n_rep):
-        first = keyed.digest(seed, PURPOSE, F.lit(rep), F.col("cell_id")) <= F.col("cuts")[rep]
-        bits = bits.bitwiseOR(F.when(first, F.lit(1 << rep).cast("long")).otherwise(F.lit(0).cast("long")))
-    return place(cells, matching).join(packed, "pair_id").withColumn("halves", bits).drop("cuts")
+    first = [keyed.digest(seed, PURPOSE, F.lit(rep), F.col("cell_id")) <= F.get("cuts", F.lit(rep)) for rep in range(n_rep)]
+    return place(cells, matching).join(packed, "pair_id").withColumn("halves", F.array(*first)).drop("cuts")
 
 
 def half_profiles(expr: DataFrame, matching: Matching, ctrl: DataFrame, obs: DataFrame, n_genes: int, n_rep: int) -> DataFrame:
     """(cond_id, rep, h0, h1): count-weighted means of half minus the batch's own control, dense arrays.
 
-    expr carries the bit set of `mark_halves`. The second half's sums are the totals minus the first
+    expr carries the flags of `mark_halves`. The second half's sums are the totals minus the first
     half's. A condition whose batches all have a single cell has NULL halves.
     """
     firsts = [f"s{r}" for r in range(n_rep)]
-    in_first = [F.when(F.getbit("halves", F.lit(r)) == 1, F.col("value")).otherwise(0.0) for r in range(n_rep)]
+    in_first = [F.when(F.get("halves", F.lit(r)), F.col("value")).otherwise(0.0) for r in range(n_rep)]
     split = matching.pairs.where("n_treated >= 2").withColumn("k0", F.floor(F.col("n_treated") / 2)).withColumn(
         "k1", F.col("n_treated") - F.col("k0")
     )

@@ -39,11 +39,11 @@ def fold_gene_variance(profiles: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def select_genes(variance: DataFrame, n_hvg: int | None, n_genes: int) -> DataFrame:
-    """(fold, gene_idx): the n_hvg most variable genes of each fold; all genes when that covers the axis."""
+    """(fold, gene_idx, var): the n_hvg most variable genes of each fold; all genes when that covers the axis."""
     if n_hvg is None or n_hvg >= n_genes:
-        return variance.select("fold", "gene_idx")
+        return variance.select("fold", "gene_idx", "var")
     top = Window.partitionBy("fold").orderBy(F.desc("var"), F.desc("gene_idx"))  # one row per gene
-    return variance.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= n_hvg).select("fold", "gene_idx")
+    return variance.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= n_hvg).select("fold", "gene_idx", "var")
 
 
 def all_genes(folds: DataFrame, n_genes: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellshift.config import DETECTION_FRACTION, MIN_DETECTED_CELLS, Config
 from cellshift.functions.quantiles import exact_percentiles
-from cellshift.sources.assay import Assay
+from cellshift.sources.assay import Assay, detect_input_kind
 
 
 def is_mito_name(gene: Column) -> Column:
@@ -67,8 +67,8 @@ def qc_summary(stats: DataFrame, cfg: Config) -> DataFrame:
         stats, "pct_mito", {"mito_p25": 0.25, "mito_median": 0.5, "mito_p75": 0.75, "mito_p90": 0.9, "mito_p99": 0.99}
     )
     out = counters.withColumn("mito_filter_applied", F.col("_with_mito") > 0).drop("_with_mito")
-    for name in quantiles.columns:
-        out = out.withColumn(name, quantiles.select(name).scalar())
+    out = out.withColumn("_q", quantiles.select(F.struct("*")).scalar())  # one subquery for all percentiles
+    out = out.withColumns({name: F.col("_q")[name] for name in quantiles.columns}).drop("_q")
     return out.withColumn("max_pct_mito_threshold", F.lit(float(cfg.max_pct_mito)))
 
 
@@ -108,22 +108,6 @@ def median_total(stats: DataFrame) -> DataFrame:
     return exact_percentiles(stats.where(F.col("total_count") > 0), "total_count", {"median_total": 0.5})
 
 
-def detect_input_kind(counts: DataFrame, sample_cells: int = 500) -> DataFrame:
-    """One row: whether long counts look like raw integers that still need normalising.
-
-    Integers are judged on the first `sample_cells` cells by id, the maximum on all of them.
-    """
-    first = counts.select("cell_id").distinct().orderBy("cell_id").limit(sample_cells)
-    sampled = counts.join(first, "cell_id", "left_semi").where(F.col("count") > 0)
-    off = F.max(F.abs(F.col("count") - F.rint("count")))
-    near = sampled.agg((off <= 1e-6).alias("near")).select(F.coalesce("near", F.lit(False))).scalar()
-    return counts.agg(F.coalesce(F.max("count"), F.lit(0.0)).alias("max_value")).select(
-        "max_value",
-        near.alias("looks_integer"),
-        F.when(near & (F.col("max_value") > 30), "raw_counts").otherwise("already_normalized_or_log").alias("detected_input"),
-    )
-
-
 def expression(
     cells: DataFrame, genes_kept: DataFrame, median: float, keys: list[str], normalize: bool = True
 ) -> DataFrame:

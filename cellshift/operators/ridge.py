@@ -9,10 +9,9 @@ The fit needs only sums over training conditions, so it is a chain of small aggr
 * kept per cross-validation part, the same sums give every validation error, so no alpha needs
   another pass over the data.
 
-Folds whose condition count is below MAX_ROWS_PER_TASK are fitted by one task each. Larger ones are
-split into shards of bounded size whose sums are added up; both ways use the same functions. What a
-single task must hold is then the model: genes x genes for the components, (features + compounds) x
-genes for the solution.
+Every fold is cut into shards of about ROWS_PER_SHARD conditions whose sums are added up; no task holds
+a fold's rows. What a single task must hold is the model: genes x genes for the components, (features +
+compounds) x genes for the solution.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ MAX_COMPONENTS = 50
 MIN_VARIANCE_RATIO = 1e-6
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
 CV_PARTS = 5
-MAX_ROWS_PER_TASK = 4096
+ROWS_PER_SHARD = 1024
 
 _OUT = "fold string, cond_id string, pred array<double>, fallback boolean, alpha double, n_components int"
 
@@ -185,25 +184,6 @@ def _rows(profiles: DataFrame, folds: DataFrame, genes: DataFrame, n_shards: int
     )
 
 
-def _fit_whole_fold(rows: DataFrame, use_compound: bool) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cond_id")
-        train, test = pdf[pdf.train], pdf[~pdf.train]
-        if train.empty or test.empty:
-            return pd.DataFrame(columns=["fold", "cond_id", "pred", "fallback", "alpha", "n_components"])
-        control = _matrix(train.control)
-        centre = control.mean(0)
-        control -= centre
-        w = whitening(control.T @ control, len(train))
-        z = features(w, control, train.dose.to_numpy())
-        sums = partial_sums(z, _matrix(train.delta), train.cv.to_numpy(), train["compound"].to_numpy())
-        alpha, beta, names, gamma = solve_fold(sums, use_compound)
-        zt = features(w, _matrix(test.control) - centre, test.dose.to_numpy())
-        return _fold_result(pdf.fold.iloc[0], test.cond_id.to_numpy(), zt, test["compound"].to_numpy(), alpha, beta, names, gamma, use_compound)
-
-    return rows.groupBy("fold").applyInPandas(fit, _OUT)
-
-
 def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Element-wise sum of the `sums` arrays (and of n) over shards."""
 
@@ -216,7 +196,7 @@ def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(add, parts.schema)
 
 
-def _fit_sharded(rows: DataFrame, use_compound: bool) -> DataFrame:
+def _fit(rows: DataFrame, use_compound: bool) -> DataFrame:
     train = rows.where("train")
     # control means per fold, by gene position, so that the scatter is taken around them exactly
     centres = (
@@ -285,13 +265,11 @@ def _fit_sharded(rows: DataFrame, use_compound: bool) -> DataFrame:
 
 
 def ridge_predictions(
-    profiles: DataFrame, folds: DataFrame, genes: DataFrame, use_compound: bool, max_rows: int = MAX_ROWS_PER_TASK
+    profiles: DataFrame, folds: DataFrame, genes: DataFrame, use_compound: bool, rows_per_shard: int = ROWS_PER_SHARD
 ) -> DataFrame:
     """Predictions for every fold's test conditions, with the chosen alpha and the number of components.
 
-    Counts the conditions first (one number) to decide between one task per fold and shards.
+    Counts the conditions first (one number) for the number of shards.
     """
-    n_shards = math.ceil(max(1, profiles.count()) / max_rows)
-    rows = _rows(profiles, folds, genes, n_shards)
-    out = _fit_whole_fold(rows, use_compound) if n_shards == 1 else _fit_sharded(rows, use_compound)
-    return out.select("fold", "cond_id", "pred", "fallback", F.lit(None).cast("int").alias("tier"), "alpha", "n_components")
+    n_shards = math.ceil(max(1, profiles.count()) / rows_per_shard)
+    return _fit(_rows(profiles, folds, genes, n_shards), use_compound).select("fold", "cond_id", "pred", "fallback", F.lit(None).cast("int").alias("tier"), "alpha", "n_components")

@@ -175,5 +175,6 @@ def assert_no_leakage(obs: DataFrame, folds: DataFrame, meta: DataFrame) -> int:
     broken = leakage_violations(obs, folds, meta)
     shown = broken.limit(20).collect()
     if shown:
-        raise AssertionError(f"leakage in {len({r.fold for r in shown})}+ fold(s): {[r.asDict() for r in shown]}")
+        n_folds = broken.select("fold").distinct().count()
+        raise AssertionError(f"leakage in {n_folds} fold(s), among them {[r.asDict() for r in shown]}")
     return folds.select("regime", "fold").distinct().count()

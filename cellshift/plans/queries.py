@@ -258,10 +258,8 @@ def leakage_violations_planted(spark, sf_dir):
 @register
 def hvg_selection(spark, sf_dir):
     b = build(spark, sf_dir)
-    folds = splits.all_folds(b.obs, b.cfg.seed)
-    variance = hvg.fold_gene_variance(b.profiles, folds)
-    chosen = hvg.select_genes(variance, b.cfg.n_hvg, b.n_genes)
-    return round_all(named(chosen.join(variance, ["fold", "gene_idx"]), b), "var")
+    variance = hvg.fold_gene_variance(b.profiles, Sweep(b).folds)
+    return round_all(named(hvg.select_genes(variance, b.cfg.n_hvg, b.n_genes), b), "var")
 
 
 @register
@@ -378,18 +376,6 @@ def clustered_ci(spark, sf_dir):
     return round_all(normalize.clustered_ci(scored_sweep(spark, sf_dir, names=SIMPLE).scores, 0), "ci_low", "ci_high")
 
 
-@register
-def policy_tables(spark, sf_dir):
-    """Direction and floor of every metric that the sweep over these tables reports."""
-    b = build(spark, sf_dir)
-    reported = F.explode(F.array(*[F.lit(m) for m in metrics.METRIC_DIRECTION]))
-    rows = b.obs.select(reported.alias("metric")).distinct()
-    return rows.select(
-        "metric", normalize.lookup(F.col("metric"), metrics.METRIC_DIRECTION).alias("direction"),
-        normalize.lookup(F.col("metric"), normalize.FLOOR_BASELINE).alias("floor_baseline"),
-    )
-
-
 def _results(spark, sf_dir, n_boot: int = 1, names: tuple[str, ...] | None = SIMPLE) -> DataFrame:
     return scored_sweep(spark, sf_dir, names=names).results(n_boot=n_boot)
 

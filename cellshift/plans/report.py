@@ -10,7 +10,6 @@ from cellshift.operators.metrics import CEILING, FULL, HALF, METRIC_DIRECTION
 from cellshift.operators.splits import REGIMES
 
 BASELINES = ["no_change", "global_mean_delta", "per_drug_mean_delta", "ridge", "ridge_no_drug", "nearest_context"]
-MAX_LISTED_WINS = 15
 
 
 def fmt(x, digits: int = 3) -> str:
@@ -161,7 +160,7 @@ def _data(results: DataFrame, meta: dict, regimes) -> str:
 
 
 def _answers(results: DataFrame, inflation: list[dict]) -> str:
-    wins = _rows(pooling.beats_floor(results).orderBy("metric", "baseline").limit(MAX_LISTED_WINS))
+    wins = _rows(pooling.beats_floor(results).orderBy("metric", "baseline"))
     best = {(r["metric"], r["split"]): r["best"] for r in _rows(pooling.best_by_split(results))}
     lines = ["## Four questions", "\n### 1. Does any baseline beat no_change?\n"]
     lines += [f"- {w['baseline']} on {w['metric']}: {fmt(w['mean'])} against {fmt(w['floor_mean'])}, normalised {fmt(w['normalized_mean'])} ± {fmt(w['normalized_std'])}" for w in wins]
@@ -179,12 +178,13 @@ def _answers(results: DataFrame, inflation: list[dict]) -> str:
 def build_report(results: DataFrame, meta: dict) -> str:
     config = meta.get("config", {})
     pooled = _rows(pooling.pooled_results(results))
-    names = [b for b in BASELINES if any(r["baseline"] == b for r in pooled)]
+    present = {r["baseline"] for r in pooled} - {CEILING}
+    names = [b for b in BASELINES if b in present] + sorted(present - set(BASELINES))
     regimes = [s for s in REGIMES if any(r["split"] == s for r in pooled)]
     inflation = _rows(pooling.inflation(results))
     head = (
         f"# Perturbation-response benchmark\n\nDataset `{config.get('dataset')}`, seed {config.get('seed')}, gene set {config.get('gene_set')} "
-        f"({config.get('n_hvg')}), quick {meta.get('quick')}, resume {meta.get('resume')}. {meta.get('n_folds')} folds, "
+        f"({config.get('n_hvg')}), limits {meta.get('limits') or 'none'}, resume {meta.get('resume')}. {meta.get('n_folds')} folds, "
         f"{meta.get('n_leakage_checks')} checked for leakage before anything was fitted."
     )
     sections = [

@@ -13,12 +13,9 @@ from cellshift.config import Config
 from cellshift.operators import baselines, hvg, metrics, normalize, splits
 from cellshift.session import materialize
 
-QUICK_FOLDS = 2
-QUICK_GENES = 200
 
-
-def quick_folds(folds: DataFrame, limit: int = QUICK_FOLDS) -> DataFrame:
-    """The first folds of each regime by name."""
+def first_folds(folds: DataFrame, limit: int) -> DataFrame:
+    """The first folds of each regime by name, as many as the caller asks for."""
     names = folds.groupBy("regime").agg(F.slice(F.sort_array(F.collect_set("fold")), 1, limit).alias("names"))
     kept = names.select(F.explode("names").alias("fold"))
     return folds.join(kept, "fold", "left_semi").select(*folds.columns)
@@ -26,10 +23,14 @@ def quick_folds(folds: DataFrame, limit: int = QUICK_FOLDS) -> DataFrame:
 
 @dataclass
 class Sweep:
-    """One sweep over a built dataset (anything with cfg, profiles, de, n_genes and halves)."""
+    """One sweep over a built dataset (anything with cfg, obs, profiles, de, n_genes and halves).
+
+    Every fold and every selected gene, unless the caller limits folds_per_regime or genes_per_fold.
+    """
 
     build: Any
-    quick: bool = False
+    folds_per_regime: int | None = None
+    genes_per_fold: int | None = None
     regimes: tuple[str, ...] = tuple(splits.REGIMES)
     skip: DataFrame | None = None
     names: tuple[str, ...] | None = None
@@ -44,13 +45,13 @@ class Sweep:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return self.profiles.drop("x", "control", "delta")
+        return self.build.obs
 
     @cached_property
     def folds(self) -> DataFrame:
         folds = splits.all_folds(self.obs, self.cfg.seed, list(self.regimes))
-        if self.quick:
-            folds = quick_folds(folds)
+        if self.folds_per_regime:
+            folds = first_folds(folds, self.folds_per_regime)
         if self.skip is not None:
             folds = folds.join(self.skip, "fold", "left_anti")
         return materialize(folds.select("regime", "fold", "cond_id", "role"), "folds")
@@ -66,9 +67,9 @@ class Sweep:
             chosen = hvg.all_genes(self.folds, self.build.n_genes)
         else:
             chosen = hvg.select_genes(hvg.fold_gene_variance(self.profiles, self.folds), self.cfg.n_hvg, self.build.n_genes)
-        if self.quick:
-            chosen = hvg.gene_lists(chosen, QUICK_GENES).select("fold", F.explode("genes").alias("gene_idx"))
-        return materialize(chosen, "selected")
+        if self.genes_per_fold:
+            chosen = hvg.gene_lists(chosen, self.genes_per_fold).select("fold", F.explode("genes").alias("gene_idx"))
+        return materialize(chosen.select("fold", "gene_idx"), "selected")
 
     @cached_property
     def fit(self) -> baselines.Fit:
@@ -95,6 +96,7 @@ class Sweep:
         pairs = metrics.scoring_pairs(self.predictions, self.truth, self.half)
         return materialize(metrics.score_conditions(pairs, metrics.truth_pools(self.truth, self.half)), "scores")
 
-    def results(self, n_boot: int = 1000, draws: str = "generator") -> DataFrame:
-        rates = baselines.fallback_rates(self.predictions)
-        return normalize.results_table(self.scores, self.folds, rates, self.cfg.seed, n_boot, draws)
+    def results(self, n_boot: int = 1000, draws: str = "generator", fold: str | None = None) -> DataFrame:
+        """The results table, of one fold or of all; folds share the stored predictions and scores."""
+        scores, folds, predictions = (df if fold is None else df.where(F.col("fold") == fold) for df in (self.scores, self.folds, self.predictions))
+        return normalize.results_table(scores, folds, baselines.fallback_rates(predictions), self.cfg.seed, n_boot, draws)

@@ -81,8 +81,13 @@ def clear_tables(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc is None or context.applicationId not in _folders:
         return
-    path = context._jvm.org.apache.hadoop.fs.Path(_folders.pop(context.applicationId))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _folders.pop(context.applicationId))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store the path names."""
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -95,3 +100,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def data_version(spark: SparkSession, path: str) -> str:
+    """Bytes, number of files and time of the last change of a location in any store; empty if it is none."""
+    system, where = _file_system(spark, path)
+    if not system.exists(where):
+        return ""
+    summary = system.getContentSummary(where)
+    changed = max([system.getFileStatus(where).getModificationTime(), *(s.getModificationTime() for s in system.listStatus(where))])
+    return f"{summary.getLength()}-{summary.getFileCount()}-{changed}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file in whatever store the path names."""
+    system, where = _file_system(spark, path)
+    out = system.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -8,7 +8,7 @@ no operator has to shuffle it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,17 +116,12 @@ def assay_from_long(obs: DataFrame, counts: DataFrame, genes: DataFrame, **optio
     )
 
 
-def assay_from_dense(spark: SparkSession, obs, matrix, gene_names: list[str], **options) -> Assay:
-    """Small in-memory fixture: a pandas frame of metadata and a dense cells x genes matrix."""
-    frame = obs.reset_index(drop=True).copy()
-    frame.insert(0, "cell_id", range(len(frame)))
-    rows = [
-        (int(i), int(j), float(matrix[i][j]))
-        for i in range(len(frame)) for j in range(len(gene_names)) if matrix[i][j] != 0
-    ]
-    counts = spark.createDataFrame(rows, "cell_id long, gene_id int, count double")
-    genes = spark.createDataFrame(list(enumerate(gene_names)), "gene_id int, gene string")
-    return assay_from_long(spark.createDataFrame(frame), counts, genes, **options)
+def detect_input_kind(counts: DataFrame) -> DataFrame:
+    """One row: whether long counts look like raw integers that still need normalising, judged on every entry."""
+    off = F.max(F.when(F.col("count") > 0, F.abs(F.col("count") - F.rint("count"))))
+    judged = counts.agg(F.coalesce(F.max("count"), F.lit(0.0)).alias("max_value"), F.coalesce(off <= 1e-6, F.lit(False)).alias("looks_integer"))
+    raw = F.col("looks_integer") & (F.col("max_value") > 30)
+    return judged.select("max_value", "looks_integer", F.when(raw, "raw_counts").otherwise("already_normalized_or_log").alias("detected_input"))
 
 
 # --- loader registry -------------------------------------------------------------------------
@@ -140,15 +135,22 @@ def register_loader(name: str, loader: Loader) -> None:
 
 
 def get_loader(name: str) -> Loader:
-    if name == "tahoe":
-        raise NotImplementedError("no loader for 'tahoe' yet; register one with register_loader('tahoe', loader)")
     if name not in _loaders:
         raise KeyError(f"no loader registered for {name!r}; registered: {sorted(_loaders)}")
     return _loaders[name]
 
 
 def parquet_assay(spark: SparkSession, path: str) -> Assay:
-    """Assay stored as parquet: obs, genes, and either sparse vectors in obs or a long counts table."""
+    """Assay stored as parquet: obs, genes, and either sparse vectors in obs or a long counts table.
+
+    Whether the values are raw counts or already normalised is judged on all of them, in one scan.
+    """
+    assay = _stored_assay(spark, path)
+    kind = detect_input_kind(assay.counts() if assay.packed else spark.read.parquet(f"{path}/counts")).first()["detected_input"]
+    return replace(assay, already_normalized=kind != "raw_counts")
+
+
+def _stored_assay(spark: SparkSession, path: str) -> Assay:
     obs = spark.read.parquet(f"{path}/obs")
     genes = spark.read.parquet(f"{path}/genes").select(F.col("gene_id").cast("int").alias("gene_id"), "gene")
     if "features" in obs.columns:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from cellshift.config import DETECTION_FRACTION, Config
-from cellshift.operators import halves, hvg, pseudobulk, qc
+from cellshift.operators import hvg, pseudobulk, qc
 from cellshift.plans.dataset import Build
 from cellshift.plans.sweep import Sweep
+from cellshift.session import data_version
 import cellshift.sources.orders  # noqa: F401  (registers its loader)
 from cellshift.sources.assay import get_loader
 
-TABLES = ["genes", "profiles", "de", "half_profiles", "half_genes"]
+TABLES = ["genes", "obs", "profiles", "de", "half_profiles", "half_genes"]
 
 
 @dataclass
@@ -25,6 +26,7 @@ class Dataset:
 
     cfg: Config
     genes: DataFrame
+    obs: DataFrame
     profiles: DataFrame
     de: DataFrame
     half_profiles: DataFrame
@@ -40,13 +42,18 @@ class Dataset:
         return self.half_profiles
 
 
-def cache_path(cfg: Config, source: str) -> str:
-    return f"{cfg.cache_dir.rstrip('/')}/dataset_{cfg.dataset}_{cfg.cache_key(source)}"
+def content_key(spark: SparkSession, cfg: Config, source: str) -> str:
+    """Key of everything derived from the source as it is now: data replaced in place gets another key."""
+    return cfg.cache_key(f"{source}@{data_version(spark, source)}")
+
+
+def cache_path(spark: SparkSession, cfg: Config, source: str) -> str:
+    return f"{cfg.cache_dir.rstrip('/')}/dataset_{cfg.dataset}_{content_key(spark, cfg, source)}"
 
 
 def load_stored(spark: SparkSession, cfg: Config, source: str) -> Dataset | None:
     """The stored dataset, or None. The metadata is written last, so its presence means all tables are complete."""
-    base = cache_path(cfg, source)
+    base = cache_path(spark, cfg, source)
     try:
         meta = json.loads(spark.read.text(f"{base}/meta", wholetext=True).first()[0])
         tables = {t: spark.read.parquet(f"{base}/{t}") for t in TABLES}
@@ -57,20 +64,17 @@ def load_stored(spark: SparkSession, cfg: Config, source: str) -> Dataset | None
 
 def store(build: Build, source: str) -> Dataset:
     """Build every table and write it under the content key."""
-    cfg, base = build.cfg, cache_path(build.cfg, source)
-    spark = build.profiles.sparkSession
+    cfg, spark = build.cfg, build.profiles.sparkSession
+    base = cache_path(spark, cfg, source)
     union = hvg.gene_union(Sweep(build).selected)
     n_conditions, n_union = build.profiles.count(), union.count()
-    n_rep, reduced = halves.rep_budget(cfg.n_ceiling_reps, n_conditions, n_union)
     frames = {
         "genes": build.genes, "profiles": build.profiles, "de": build.de,
-        "half_profiles": build.halves(union, n_rep), "half_genes": union,
+        "obs": build.obs, "half_profiles": build.halves(union), "half_genes": union,
     }
     for name, frame in frames.items():
         frame.write.mode("overwrite").parquet(f"{base}/{name}")
-    meta = {**dataset_meta(build, source), "n_conditions": n_conditions, "n_ceiling_reps": n_rep, "halves_n_genes": n_union}
-    if reduced:
-        meta["n_ceiling_reps_reduced"] = reduced
+    meta = {**dataset_meta(build, source), "n_conditions": n_conditions, "n_ceiling_reps": cfg.n_ceiling_reps, "halves_n_genes": n_union}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
     return load_stored(spark, cfg, source)
 

@@ -6,9 +6,11 @@ Each (split, fold) is one partition, committed as a whole; writing a fold again
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from cellshift.operators.normalize import RESULTS_COLUMNS, SORT_KEYS
+from cellshift.session import delete
 
 
 class ResultsLog:
@@ -22,17 +24,22 @@ class ResultsLog:
             .option("partitionOverwriteMode", "dynamic").partitionBy("split", "fold").parquet(self.path)
         )
 
-    def read(self) -> DataFrame | None:
+    def clear(self) -> None:
+        delete(self.spark, self.path)
+
+    def read(self, regimes: list[str] | None = None) -> DataFrame | None:
+        """All committed folds, or those of the named regimes."""
         try:
-            return self.spark.read.parquet(self.path).select(*RESULTS_COLUMNS)
+            rows = self.spark.read.parquet(self.path).select(*RESULTS_COLUMNS)
         except AnalysisException:
             return None
+        return rows.where(F.col("split").isin(regimes)) if regimes else rows
 
     def completed(self) -> DataFrame | None:
         """(split, fold) of every committed fold."""
         rows = self.read()
         return None if rows is None else rows.select("split", "fold").distinct()
 
-    def export_csv(self, path: str) -> None:
+    def export_csv(self, path: str, regimes: list[str] | None = None) -> None:
         """One sorted CSV file with a header; undefined values are empty fields."""
-        self.read().orderBy(*SORT_KEYS).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        self.read(regimes).orderBy(*SORT_KEYS).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

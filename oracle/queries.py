@@ -33,11 +33,9 @@ ORACLE["mito_drop_rates"] = query(_STD, f"""SELECT axis, bucket, count(*) FILTER
 
 ORACLE["gene_detection"] = query(_STD, "SELECT gene_id, gene, n_detected, threshold, keep FROM detection")
 
-ORACLE["input_kind"] = query(_STD, """SELECT max(cnt) AS max_value,
-    (SELECT max(abs(cnt - round(cnt))) <= 1e-6 FROM counts WHERE cnt > 0 AND cell_id IN
-        (SELECT DISTINCT cell_id FROM counts ORDER BY cell_id LIMIT 500)) AS looks_integer,
-    CASE WHEN (SELECT max(abs(cnt - round(cnt))) <= 1e-6 FROM counts WHERE cnt > 0 AND cell_id IN
-        (SELECT DISTINCT cell_id FROM counts ORDER BY cell_id LIMIT 500)) AND max(cnt) > 30 THEN 'raw_counts' ELSE 'already_normalized_or_log' END AS detected_input FROM counts""")
+_WHOLE = "coalesce(max(abs(cnt - round(cnt))) FILTER (cnt > 0) <= 1e-6, false)"
+ORACLE["input_kind"] = query(_STD, f"""SELECT coalesce(max(cnt), 0) AS max_value, {_WHOLE} AS looks_integer,
+    CASE WHEN {_WHOLE} AND max(cnt) > 30 THEN 'raw_counts' ELSE 'already_normalized_or_log' END AS detected_input FROM counts""")
 
 ORACLE["control_flags"] = query(_STD, """SELECT compound, lower(compound) IN ('vehicle', 'control', 'dmso', 'none', 'untreated', 'ctrl') AS is_control,
     count(*) AS n_cells FROM obs0 GROUP BY ALL""")
@@ -157,10 +155,6 @@ ORACLE["normalized_scores"] = query(_RES, f"""SELECT {_RKEYS}, {r6('value', 'val
     {r6('ceiling_value', 'ceiling_value')}, {r6('normalized', 'normalized')}, {r6('normalized_std', 'normalized_std')}, normalization_valid, n_conditions, n_test FROM res""")
 _COMBO = "split || '~' || fold || '~' || metric || '~' || representation || '~' || target"
 ORACLE["direction_guard"] = query(_RES, f"""SELECT count(DISTINCT {_COMBO}) AS n_total, count(DISTINCT {_COMBO}) FILTER (NOT normalization_valid) AS n_fired FROM res""")
-ORACLE["policy_tables"] = query(_STD, "SELECT * FROM (VALUES " + ", ".join(
-    f"('{m}', '{'higher_better' if up else 'lower_better'}', '{sweep.FLOORS[m]}')" for m, up in sweep.METRICS.items()
-) + ") t(metric, direction, floor_baseline) WHERE (SELECT count(*) FROM conds) > 0")
-
 ORACLE["bootstrap_ci"] = query(_SCORES + [
     ("bv", """SELECT fold, baseline, target, representation, metric, v, row_number() OVER (PARTITION BY fold, baseline, target, representation, metric
         ORDER BY cond_id, rep) - 1 AS i, count(*) OVER (PARTITION BY fold, baseline, target, representation, metric) AS n

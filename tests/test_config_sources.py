@@ -30,8 +30,8 @@ def test_cache_key_follows_content_only():
 
 
 def test_registry():
-    with pytest.raises(NotImplementedError):
-        get_loader("tahoe")
+    with pytest.raises(KeyError):
+        get_loader("unregistered")
     with pytest.raises(KeyError):
         get_loader("nope")
     register_loader("mine", lambda spark, path: path)

@@ -166,7 +166,7 @@ def test_ridge_matches_dense_solution(grid, folds, use_compound):
     two = folds.where("fold IN ('held_out_context/A', 'held_out_drug/fold1')")
     genes = hvg.gene_lists(hvg.all_genes(two, 12))
     whole = {(r.fold, r.cond_id): r for r in ridge.ridge_predictions(grid, two, genes, use_compound).collect()}
-    sharded = {(r.fold, r.cond_id): r for r in ridge.ridge_predictions(grid, two, genes, use_compound, max_rows=7).collect()}
+    sharded = {(r.fold, r.cond_id): r for r in ridge.ridge_predictions(grid, two, genes, use_compound, rows_per_shard=7).collect()}
     rows = {(r.fold, r.cond_id): r for r in ridge._rows(grid, two, genes, 1).collect()}
     meta = {r.cond_id: r for r in grid.collect()}
     assert whole.keys() == sharded.keys() and len(whole) == two.where("role = 'test'").count()

@@ -10,7 +10,7 @@ from cellshift.functions import keyed
 from cellshift.functions.quantiles import exact_percentiles
 from cellshift.operators import de, halves, pseudobulk, qc
 from cellshift.plans.dataset import Build
-from cellshift.sources.assay import assay_from_dense
+from tests.fixtures import assay_from_dense
 
 
 def _obs(rows):
@@ -165,9 +165,3 @@ def test_percentiles_and_keyed_ranks(spark):
     assert flat.exceptAll(deep).isEmpty()
     cut = keyed.keyed_cutoff(keyed_frame.withColumn("take", F.lit(400)), ["g"], "key", "take", 2)
     assert {r["count"] for r in keyed_frame.join(cut, "g").where("key <= cutoff").groupBy("g").count().collect()} == {400}
-
-
-def test_rep_budget():
-    assert halves.rep_budget(10, 100, 100) == (10, None)
-    n, why = halves.rep_budget(10, 1_000_000, 3000)
-    assert n == 5 and why["from"] == 10

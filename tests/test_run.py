@@ -9,19 +9,20 @@ from cellshift.config import Config
 from cellshift.plans.run import run
 
 SOURCE = "/root/testdata/sf0.001"
+LIMITS = {"folds_per_regime": 2, "genes_per_fold": 200}
 
 
 @pytest.mark.skipif(not os.path.isdir(SOURCE), reason="order tables not present")
 def test_run_resume_and_report(spark, tmp_path):
     cfg = Config(dataset="orders", min_genes=2, min_cells_per_condition=8, n_hvg=15, n_ceiling_reps=2,
                  cache_dir=str(tmp_path / "cache"), out_dir=str(tmp_path / "out"))
-    results, meta = run(spark, cfg, SOURCE, n_boot=20, quick=True, regimes=["random"])
+    results, meta = run(spark, cfg, SOURCE, n_boot=20, **LIMITS, regimes=["random"])
     first = results.toPandas()
     assert len(first) == 120 and meta["n_folds"] == meta["n_leakage_checks"] == 1
     csv = lambda: b"".join(p.read_bytes() for p in sorted((tmp_path / "out" / "results.csv").glob("part-*")))
     before = csv()
     assert before.count(b"\n") == 121
-    resumed, meta = run(spark, cfg, SOURCE, n_boot=20, quick=True, resume=True, regimes=["random"])
+    resumed, meta = run(spark, cfg, SOURCE, n_boot=20, **LIMITS, resume=True, regimes=["random"])
     assert resumed.count() == 120 and csv() == before  # nothing recomputed, byte-identical export
     report = (tmp_path / "out" / "report.md").read_text()
     for heading in ("Floor policy", "Direction guard", "Main table", "Secondary table", "held_out_context", "Absolute against delta",
