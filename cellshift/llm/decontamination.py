@@ -89,7 +89,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
     slotted = index.where(F.size("item_slots") > 0)
     wanted = passed.join(slotted.select("item_id").distinct(), "item_id", "left_semi").select(F.col("doc_id").alias("d"), F.col("same").alias("s"), "item_id")
     here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("same") == F.col("s"))
-    at = hits.join(slotted.select("run").distinct(), "run", "left_semi").join(wanted.select("d", "s").distinct(), here, "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.collect_set(F.struct("doc_place", "run")).alias("places"))
+    slot_hits = hits.join(slotted.select("run").distinct(), "run", "left_semi").join(wanted.select("d", "s").distinct(), here, "left_semi")
+    at = slot_hits.groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.collect_set(F.struct("doc_place", "run")).alias("places"))
+    at = materialize(at, "slot-places")  # its size is known: while it is small no text is shuffled
     looked = keyed.join(at, here).withColumn("__raw", raw_words())
     cut = looked.select("doc_id", "same", F.explode(F.transform("places", lambda p: F.struct(p.run.alias("run"), F.slice("__raw", p.doc_place + 1, width).alias("raw")))).alias("x")).select("doc_id", "same", "x.run", "x.raw")
     valued = cut.join(slotted, "run").select("doc_id", "same", "item_id", F.explode("item_slots").alias("slot"), "raw")
