@@ -74,7 +74,7 @@ class WordScores:
     """Scores of words seen by this worker, grown on demand."""
 
     weights: np.ndarray
-    limit: int = 500_000
+    limit: int = 200_000  # words, about 40 MB; a worker that is full starts anew
     index: dict = field(default_factory=dict)
     values: np.ndarray = field(default_factory=lambda: np.zeros((1 << 16, 3), dtype=np.float32))
 
@@ -323,7 +323,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_slices(batches):
+        for batch in batch_slices(batches, limit=1 << 20):
             texts = [(t or b"").decode("utf-8", "replace") for t in text_bytes(batch)]
             found, odds = _scored(shared.value, token, texts)
             marked = [[{"start": a, "end": b, "marginal": p} for a, b, p in spans(t, o)] for t, o in zip(texts, odds, strict=True)]
@@ -338,7 +338,7 @@ def reject(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Data
     token = uuid.uuid4().hex
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_slices(batches):
+        for batch in batch_slices(batches, limit=1 << 20):
             texts = [(t or b"").decode("utf-8", "replace") for t in text_bytes(batch)]
             yield batch.filter(pa.array(_scored(shared.value, token, texts)[0] < threshold))
 
