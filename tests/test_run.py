@@ -59,4 +59,4 @@ def test_broken_run_resumes_at_the_missing_fold(spark, tmp_path, monkeypatch):
     assert rows.fold.nunique() == 2 and meta["n_leakage_checks"] == 2 and "own" in set(rows.baseline)
     assert all(p.stat().st_mtime_ns == t for p, t in committed.items())
     both = rows[rows.baseline.isin(["own", "no_change"])].pivot_table(index=["fold", "metric", "representation", "target"], columns="baseline", values="value")
-    assert (both["own"] == both["no_change"]).all()
+    assert both["own"].equals(both["no_change"])  # undefined values alike
