@@ -75,3 +75,44 @@ def test_registered():
 
     names = entry.queries()
     assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
+
+
+def jaccard(a, b):
+    def shingles(t):
+        ws = t.lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_match_brute_force(spark, corpus):
+    """Copies of similarity 0.6 to 1, many of them 0.8 to 0.95, some sharing a long passage, one large group."""
+    folder, _ = corpus
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    passage, texts = words(40), []
+    for _ in range(40):
+        body = words(rng.randint(4, 150))
+        body = body + passage if rng.random() < 0.5 else body
+        texts.append(" ".join(body))
+        for _ in range(rng.randint(0, 3)):
+            copy = list(body)
+            for _ in range(rng.randint(1, max(1, len(body) // 25))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(500)}"
+            texts.append(" ".join(copy))
+    body = words(100)
+    texts += [" ".join([*body, f"y{i}"]) for i in range(40)] + [texts[0], "", "short one", "Short  ONE"]
+    rng.shuffle(texts)
+    root, close = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            likeness = jaccard(texts[i], texts[j])
+            close += 0.8 <= likeness < 0.95
+            if likeness >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert close > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
+    assert sorted(got) == sorted(set(root))
