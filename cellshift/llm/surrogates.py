@@ -25,9 +25,10 @@ KEY = "surrogate-key"  # a parameter of every call; keep the real one out of the
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Titles that tell a gender, and those that don't.
 MALE, FEMALE, OPEN = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"], ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], ["Dr", "Prof"]
+_LABEL = r"(?i:token|secret|api_key|apikey|passwd|password) ?[=:]"  # what a secret stands behind
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<=(?i:token|secret|api_key|apikey|passwd|password) ?[=:] ?[\"']?)[A-Za-z0-9+/_-]{12,}+",
+    "secret": rf"(?<={_LABEL} ?[\"']?)[A-Za-z0-9+/_-]{{12,}}+",
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
@@ -37,8 +38,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(MALE + FEMALE + OPEN)})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
 }
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What any entity holds: tells most clean texts at once.
-HINT = rf"[0-9@]|(?:{'|'.join(MALE + FEMALE + OPEN)})\.? \p{{Lu}}"
+#: What any text with an entity holds (secrets and access keys may be letters only): tells most clean texts at once.
+HINT = rf"[0-9@]|AKIA|{_LABEL}|(?:{'|'.join(MALE + FEMALE + OPEN)})\.? \p{{Lu}}"
 _NOT_ALNUM = r"[^\p{L}\p{N}]"
 # Given names and syllables that surrogate names are made of.
 GIVEN = {
