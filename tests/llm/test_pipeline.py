@@ -116,3 +116,15 @@ def test_near_copies_match_brute_force(spark, corpus):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()]
     assert sorted(got) == sorted(set(root))
+
+
+def test_two_texts_under_one_id(spark, corpus):
+    """Rows are judged by id and text: neither drags the other out, and null ids are no way through."""
+    folder, _ = corpus
+    copy, own = "this text is here twice under ids of its own and of another", "quite different words that nobody else has written down so far"
+    leak, clean = "first " + BENCHMARK, "clean words beside it that hold no question at all"
+    rows = [(1, copy), (2, copy), (2, own), (3, leak), (3, clean), (None, leak + " again"), (None, "plain words without a name"), (None, "plain words without a name")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, copy), (2, own), (3, leak), (3, clean), (None, "plain words without a name")}
+    assert sorted(r["text"] for r in corpus_pipeline.decontaminate(spark, docs, folder).collect()) == sorted([copy, copy, own, clean, rows[6][1], rows[7][1]])
