@@ -3,9 +3,10 @@
 Texts become canonical words: numbers, units behind numbers and names (capitalised words inside a
 sentence) turn into typed placeholders, all else into lower case. Windows of WIDTH canonical words are hashed on both
 sides and hash-joined. A question asked again with other numbers or names has the same windows; that the
-slots tell one story is checked on the values: within a document and item, one item value must always meet
-one document value and the other way round. Pairs covering at least `coverage` of an item's windows with
-consistent slots are leaks.
+slots tell one story is checked on the values: one item value must always meet one document value and the other
+way round. It is checked inside each alignment (windows of an item at one distance from their places in the
+document) that covers at least `coverage` of the item's windows by itself, and over all windows of the document
+together, so that a copy with words put in is found too. A pair is a leak if any of these passes.
 
 The item side is broadcast only while it has at most BROADCAST_WINDOWS windows, counted first; beyond that
 both sides are shuffled on the hash. Raw words are looked up again only in documents whose windows hold slots.
@@ -93,16 +94,32 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
     at = slot_hits.groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.collect_set(F.struct("doc_place", "run")).alias("places"))
     at = materialize(at, "slot-places")  # its size is known: while it is small no text is shuffled
     looked = keyed.join(at, here).withColumn("__raw", raw_words())
-    cut = looked.select("doc_id", "same", F.explode(F.transform("places", lambda p: F.struct(p.run.alias("run"), F.slice("__raw", p.doc_place + 1, width).alias("raw")))).alias("x")).select("doc_id", "same", "x.run", "x.raw")
-    valued = cut.join(slotted, "run").select("doc_id", "same", "item_id", F.explode("item_slots").alias("slot"), "raw")
-    values = valued.select("doc_id", "same", "item_id", F.col("slot.value").alias("theirs"), F.lower(F.ltrim(F.get("raw", F.col("slot.at")), F.lit(_MARKS))).alias("ours")).distinct()
-    keys = ["doc_id", "same", "item_id"]
-    one = values.groupBy(*keys, "theirs").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("forward"), F.count("*").alias("slots"))
-    other = values.groupBy(*keys, "ours").agg(F.count("*").alias("n"), F.min((F.col("ours") == F.col("theirs")).cast("int")).alias("equal")).groupBy(*keys).agg(F.max("n").alias("backward"), F.min("equal").alias("equal"))
-    told = one.join(other, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], "forward", "backward", "slots", "equal")
-    match = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("same") == F.col("__same")) & F.col("item_id").eqNullSafe(F.col("__item_id"))
-    judged = passed.join(told, match, "left").where((F.coalesce("forward", F.lit(1)) == 1) & (F.coalesce("backward", F.lit(1)) == 1))
+    cut = looked.select("doc_id", "same", F.explode(F.transform("places", lambda p: F.struct(p.doc_place.alias("doc_place"), p.run.alias("run"), F.slice("__raw", p.doc_place + 1, width).alias("raw")))).alias("x")).select("doc_id", "same", "x.*")
+    shift = (F.col("doc_place") - F.col("place")).alias("shift")
+    valued = cut.join(slotted, "run").join(passed.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), F.col("item_id").alias("i")), here & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
+    valued = valued.select("doc_id", "same", "item_id", shift, F.explode("item_slots").alias("slot"), "raw")
+    values = materialize(valued.select("doc_id", "same", "item_id", "shift", F.col("slot.value").alias("theirs"), F.lower(F.ltrim(F.get("raw", F.col("slot.at")), F.lit(_MARKS))).alias("ours")).distinct(), "slot-values")
+    known = passed.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), F.col("item_id").alias("i"), "matched", "windows")
+    found = hits.join(index.select("item_id", "place", "run"), "run").join(known, here & F.col("item_id").eqNullSafe(F.col("i")))
+    aligned = found.groupBy("doc_id", "same", "item_id", shift).agg(F.count_distinct("place").alias("inside"), F.max("matched").alias("matched"), F.max("windows").alias("windows"))
+    aligned = aligned.where(F.col("inside") >= coverage * F.col("windows")).drop("inside")
+    judged = consistent(aligned, values, ["doc_id", "same", "item_id", "shift"]).drop("shift")
+    judged = judged.unionByName(consistent(passed, values.drop("shift").distinct(), ["doc_id", "same", "item_id"]))
     return judged.groupBy("doc_id", "item_id").agg(
         F.max("matched").alias("matched"), F.max("windows").alias("windows"), F.max(F.col("matched") / F.col("windows")).alias("coverage"),
-        F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.when(F.min(F.coalesce("equal", F.lit(1))) == 1, "same").otherwise("reparameterised").alias("kind"),
+        F.max("slots").alias("slots"), F.when(F.max("equal") == 1, "same").otherwise("reparameterised").alias("kind"),
     )
+
+
+def consistent(pairs: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of pairs (by keys) whose slot values (theirs, ours) map one to one, with the number of slots and whether all are equal (1)."""
+    one = values.groupBy(*keys, "theirs").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("forward"), F.count("*").alias("slots"))
+    other = values.groupBy(*keys, "ours").agg(F.count("*").alias("n"), F.min((F.col("ours") == F.col("theirs")).cast("int")).alias("equal")).groupBy(*keys).agg(F.max("n").alias("backward"), F.min("equal").alias("equal"))
+    named = [one.withColumnsRenamed({k: f"__{k}" for k in keys}), other.withColumnsRenamed({k: f"_{k}" for k in keys})]
+    met, match = F.lit(True), F.lit(True)
+    for k in keys:
+        met &= F.col(f"__{k}").eqNullSafe(F.col(f"_{k}"))
+        match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    told = named[0].join(named[1], met).drop(*[f"_{k}" for k in keys])
+    judged = pairs.join(told, match, "left").where((F.coalesce("forward", F.lit(1)) == 1) & (F.coalesce("backward", F.lit(1)) == 1))
+    return judged.select(*pairs.columns, F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("equal", F.lit(1)).alias("equal"))

@@ -133,6 +133,20 @@ def test_decontamination(spark, text, kind):
     assert sorted(got) == ([(0, 7, kind), (1, 7, kind)] if kind else [])
 
 
+POWERS = "Which number follows in the row 2, 4, 8, 16, 32, 64, 128, 256 and why is it so"
+
+
+def test_decontamination_checks_slots_per_alignment(spark):
+    """Number sequences, an item twice in one text, and an exact copy beside a stray window of the template."""
+    moved = ITEM.replace("Paris", "London").replace("40", "55").replace("90", "70")
+    stray = "Elsewhere a train leaves Oslo at 33 km per hour and never comes back."
+    texts = [POWERS, ITEM + ". Once more in other words now: " + moved, ITEM + ". " + stray, moved + ". " + stray,
+             POWERS.replace("8,", "3,").replace("32", "3"), ITEM.replace("90", "40") + ". " + stray]
+    items = spark.createDataFrame([(1, POWERS), (2, ITEM)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(documents(spark, texts), items).collect()}
+    assert got == {(0, 1, "same"), (1, 2, "same"), (2, 2, "same"), (3, 2, "reparameterised")}
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(3)
     vocabulary = [f"w{c}" for c in "abcdefghijkl"]
