@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellshift.session import materialize
+from cellshift.session import discard, materialize
 
-__all__ = ["batch_slices", "gapless_rank", "held_out", "let", "materialize", "read", "stratified", "text_bytes"]
+__all__ = ["batch_slices", "discard", "gapless_rank", "held_out", "let", "materialize", "read", "stratified", "text_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

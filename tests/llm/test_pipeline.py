@@ -3,9 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from cellshift.llm import near_copies
 from tests.llm.test_operators import marked_texts
 
 BENCHMARK = "what is the sum of all the odd numbers below one hundred and eleven in this list of primes"
@@ -128,3 +131,68 @@ def test_two_texts_under_one_id(spark, corpus):
     kept = corpus_pipeline.near_duplicates(spark, docs, folder)
     assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, copy), (2, own), (3, leak), (3, clean), (None, "plain words without a name")}
     assert sorted(r["text"] for r in corpus_pipeline.decontaminate(spark, docs, folder).collect()) == sorted([copy, copy, own, clean, rows[6][1], rows[7][1]])
+
+
+def components_of(texts):
+    """Smallest index of each component of pairs of similarity 0.8 or more."""
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def test_near_copies_of_hot_keys(spark, corpus, monkeypatch):
+    """A passage that a third of all texts begin with and end with, apart from it unlike; a large group of near copies; a long
+    text twice; cells cut into a grid of blocks, common keys or none of them, and columns of names used inside."""
+    folder, _ = corpus
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    passage, body = words(60), words(80)
+    texts = [" ".join([*passage, *words(rng.randint(5, 25))]) for _ in range(60)]
+    texts += [" ".join([*body, f"z{i}", f"y{i}"]) for i in range(50)] + [" ".join([*body[:70], *words(rng.randint(5, 9))]) for _ in range(20)]
+    texts += [" ".join(words(rng.randint(1, 40))) for _ in range(30)] + [texts[3]] * 15
+    long = words(60_000)
+    texts += [" ".join(long), " ".join([*long[:50_000], "else", *long[50_000:]]), " ".join(long[:40_000])]
+    want = components_of(texts)
+    rows = [(i, t, *["x"] * 6) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, key string, root string, n string, same string, row string").repartition(6)
+    for cell_rows, common in ((2048, 16), (8, 3), (8, 10_000)):
+        monkeypatch.setattr(near_copies, "COMMON", common)
+        monkeypatch.setattr(near_copies.across, "__defaults__", (cell_rows,))
+        got = near_copies.grouped(docs.select("doc_id", "text", "node", "key", "root", "n", "row", F.lit("y").alias("same"))).collect()
+        first = {}
+        for r in sorted(got, key=lambda r: r["doc_id"]):
+            first.setdefault(r["component"], r["doc_id"])
+        assert [first[r["component"]] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+    kept = corpus_pipeline.near_duplicates(spark, docs.drop("same"), folder)
+    assert kept.columns == docs.drop("same").columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
+def test_sketches_never_rule_out_a_near_pair():
+    """Counts of hash buckets, cut at 255, bound the overlap from above."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 40, 400, 90_000):
+        for share in (0.5, 0.79, 0.8, 0.81, 0.9, 1.0):
+            pool = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64) * np.uint64(2)
+            both = int(round(share * n))
+            a, b = pool[:n], np.concatenate([pool[:both], pool[n : n + max(0, n - both) // 2]])
+            a, b = np.unique(a), np.unique(b)
+            met = len(np.intersect1d(a, b))
+            s, t = (np.frombuffer(near_copies.sketch(x), dtype=np.uint8)[None, :] for x in (a, b))
+            if met >= 0.8 * (len(a) + len(b) - met):
+                assert near_copies.may_be_alike(np.array([len(a)]), s, np.array([len(b)]), t, 0.8).all()
+
+
+def test_shared_keys_over_batches(spark):
+    """Runs of keys that go on over Arrow batches."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        cells = [(k, n) for k, size in ((1, 1), (2, 2), (3, 7), (4, 1), (5, 1), (6, 3), (7, 1)) for n in range(10, 10 + size)]
+        got = near_copies.shared(spark.createDataFrame(cells, "key long, node long").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(tuple(r) for r in got) == [(k, n, 10) for k, size in ((2, 2), (3, 7), (6, 3)) for n in range(10, 10 + size)]
