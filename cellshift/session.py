@@ -99,7 +99,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` has stored, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            delete(table.sparkSession, path)
 
 
 def _file_system(spark: SparkSession, path: str):
