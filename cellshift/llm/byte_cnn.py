@@ -28,7 +28,6 @@ from cellshift.llm.common import batch_slices, stratified, text_bytes
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
 PER_LANGUAGE, SLICE = 600, 4096
 CLASSES = 128
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _classes() -> np.ndarray:
@@ -165,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         net = shared.value
         for batch in batch_slices(batches, limit=1 << 20):
             texts = [(t or b"").decode("utf-8", "replace") for t in text_bytes(batch)]
-            read = [i for i, t in enumerate(texts) if net is not None and _LETTER.search(t)]
+            read = [i for i, t in enumerate(texts) if net is not None and any(map(str.isalpha, t))]  # letters as the fit means them: neither digits nor fractions
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             if read:
                 windows = [encode(texts[i]) for i in read]

@@ -62,19 +62,21 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, row
     return ranked.withColumn(out, F.col("__rank") + F.col("__shift")).drop("__chunk", "__rank", "__at", "__shift", *[f"__{k}" for k in keys])
 
 
-def stratified(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id") -> DataFrame:
-    """At most per_stratum rows of each stratum, those of smallest key hash: a bounded sample to fit a model on.
+def stratified(df: DataFrame, stratum: str, per_stratum: int, key: str = "doc_id", total: int = 200_000) -> DataFrame:
+    """At most per_stratum rows of each stratum, those of smallest key hash: a bounded sample to fit a model on. With so
+    many strata that this exceeds total, each gives an equal part of total, one row at least.
 
     Counts per stratum come first, then a hash threshold per stratum leaves about twice the rows wanted, and
     only these are ranked. Rows with a null key or stratum are not drawn.
     """
     usable = df.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
-    counts = usable.groupBy(stratum).count()
+    counts = materialize(usable.groupBy(stratum).count(), "strata")  # its size is known to the planner
+    wanted = max(1, min(per_stratum, total // max(1, counts.count())))
     mark, steps = F.xxhash64(F.col(key), F.lit("sample")), 1 << 20
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_stratum + 32) / F.col("count"))
-    drawn = usable.join(F.broadcast(counts.orderBy(F.col("count").desc()).limit(1000)), stratum).where(F.pmod(mark, F.lit(steps)) < share * steps)
+    share = F.least(F.lit(1.0), F.lit(2.0 * wanted + 32) / F.col("count"))
+    drawn = usable.join(counts, stratum).where(F.pmod(mark, F.lit(steps)) < share * steps)
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(mark))
-    return drawn.withColumn("__rank", rank).where(F.col("__rank") <= per_stratum).drop("__rank", "count")
+    return drawn.withColumn("__rank", rank).where(F.col("__rank") <= wanted).drop("__rank", "count")
 
 
 def let(value: Column, body) -> Column:

@@ -1,7 +1,7 @@
 """Operator 4: license scans as an exact set-similarity join of text blocks with notice templates.
 
 A text is cut into overlapping blocks of words; a block matches a template when it contains at least
-`threshold` of the template's distinct words. All template words are ordered by their document frequency
+`threshold` of the template's distinct words, and all of those that tell its license from others worded alike. All template words are ordered by their document frequency
 over the whole corpus, rarest first. A block that meets the threshold must hold one of a template's first
 |T| - need + 1 words (prefix filter), so only blocks with such a word become rows; these are hash-joined to
 the prefix words, cut down by size (length filter) and by what can still follow both positions (positional
@@ -27,17 +27,20 @@ from cellshift.llm.common import batch_slices, materialize, text_bytes
 
 # The phrases asked for and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Opening words of well-known notices and the labels of their licenses.
+# Parts of well-known notices, the labels of their licenses, and the words that tell a license from others in the same frame.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted charge"),
+    ("mit", "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "merge sublicense sell"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "compliance obtain"),
+    ("apache", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "basis warranties conditions"),
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute gnu"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability", "hope useful merchantability"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary permitted"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions reproduce disclaimer"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
 ]
 BLOCK_WORDS, STRIDE, THRESHOLD = 64, 32, 0.8
 
@@ -75,11 +78,11 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[str, int]
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, base: dict[str, str] = BASE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks): score is the highest
     containment among matching blocks, 1 where a base phrase stands; n_blocks counts block-template matches."""
     spark = docs.sparkSession
-    sets = [frozenset(t.encode().split()) for _, t in templates]
+    sets = [frozenset(t.encode().split()) for _, t, _ in templates]
     vocabulary = frozenset().union(*sets)
     seen = frequencies(docs, vocabulary)
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w.decode(), 0), w)))}
@@ -118,14 +121,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
     key = docs.schema["doc_id"].dataType.simpleString()
     kinds = f"doc_id {key}, same long, n_words long, n_base long, first_word long, last_word long, base_labels string, blocks array<struct<block:int,held:array<int>>>"
     digests = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("same")).mapInArrow(digest, kinds), "license-digests")
-    rows = [(i, templates[i][0], r, n, len(r), w, p) for i, (r, n) in enumerate(zip(ranked, need, strict=True)) for p, w in enumerate(r[: len(r) - n + 1])]
-    index = spark.createDataFrame(rows, "template int, label string, words array<int>, need int, size int, word int, place int")
+    told = [sorted(order[w] for w in required.encode().split()) for *_, required in templates]
+    rows = [(i, templates[i][0], r, n, len(r), told[i], w, p) for i, (r, n) in enumerate(zip(ranked, need, strict=True)) for p, w in enumerate(r[: len(r) - n + 1])]
+    index = spark.createDataFrame(rows, "template int, label string, words array<int>, need int, size int, required array<int>, word int, place int")
     blocks = digests.where(F.size("blocks") > 0).select("doc_id", "same", F.explode("blocks").alias("b")).select("doc_id", "same", "b.block", "b.held")
     probes = blocks.select("doc_id", "same", "block", "held", F.posexplode("held").alias("at", "probe"))
     after = F.least(F.col("size") - F.col("place"), F.size("held") - F.col("at"))
     near = probes.join(index, F.col("probe") == F.col("word")).where((F.size("held") >= F.col("need")) & (after >= F.col("need")))
     overlap = F.size(F.array_intersect("held", "words"))
-    exact = near.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
+    exact = near.withColumn("overlap", overlap).where((F.col("overlap") >= F.col("need")) & (F.size(F.array_except("required", "held")) == 0))
     found = exact.groupBy("doc_id", "same").agg(
         F.collect_set("label").alias("own"), F.max(F.col("overlap") / F.col("size")).alias("share"), F.count_distinct("block", "template").alias("n_blocks"),
     ).select(F.col("doc_id").alias("d"), F.col("same").alias("s"), "own", "share", "n_blocks")

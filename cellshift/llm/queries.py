@@ -78,7 +78,7 @@ QUERIES = {
               op11_filter_audit, op12_merkle_manifest, op13_url_filters)
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_TEMPLATES = ", ".join(f"({i}, '{label}', list_distinct(string_split('{text}', ' ')))" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, '{label}', list_distinct(string_split('{text}', ' ')), string_split('{told}', ' '))" for i, (label, text, told) in enumerate(license_scan.TEMPLATES))
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filters.RULES)
 _HOST_WORDS = ", ".join(f"({i}, '{w}')" for i, w in enumerate(url_filters.HOST_WORDS))
 _PHRASES = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in license_scan.BASE.items())
@@ -122,12 +122,12 @@ ORACLE: dict[str, str] = {
     "op4_license_scan": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
                 '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
-        phrases(label, ps) AS (VALUES {_PHRASES}), templates(t, label, ts) AS (VALUES {_TEMPLATES}),
+        phrases(label, ps) AS (VALUES {_PHRASES}), templates(t, label, ts, told) AS (VALUES {_TEMPLATES}),
         found AS (SELECT r, label, i FROM docs, phrases, unnest(range(len(ws) - len(ps) + 1)) u(i) WHERE ws[i + 1] = ps[1] AND ws[i + 1:i + len(ps)] = ps),
         base AS (SELECT r, count(*) AS n, min(i) AS low, max(i) AS high, list_sort(list(DISTINCT label)) AS labels FROM found GROUP BY r),
         blocks AS (SELECT r, b, list_distinct(ws[b * {license_scan.STRIDE} + 1:b * {license_scan.STRIDE} + {license_scan.BLOCK_WORDS}]) AS held
             FROM docs, unnest(range((len(ws) + {license_scan.STRIDE - 1}) // {license_scan.STRIDE})) u(b)),
-        shares AS (SELECT r, label, len(list_intersect(held, ts)) / len(ts) AS share FROM blocks, templates WHERE list_has_any(held, ts)),
+        shares AS (SELECT r, label, len(list_intersect(held, ts)) / len(ts) AS share FROM blocks, templates WHERE list_has_all(held, told)),
         own AS (SELECT r, max(share) AS share, list(DISTINCT label) AS labels, count(*) AS n_blocks FROM shares WHERE share >= {license_scan.THRESHOLD} GROUP BY r)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, low AS first_word, high AS last_word,
             coalesce(array_to_string(base.labels, ','), '') AS base_labels,
@@ -135,12 +135,12 @@ ORACLE: dict[str, str] = {
             CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.share, 0.0)::DOUBLE END AS score, coalesce(n_blocks, 0) AS n_blocks
         FROM docs LEFT JOIN base USING (r) LEFT JOIN own USING (r)""",
     "op9_topk_search": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
-        ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
-        SELECT * FROM ranked WHERE rank <= 5""",
+        pairs AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op11_filter_audit": f"""
         WITH RECURSIVE orders(o) AS (SELECT '' UNION ALL SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) l(x) WHERE NOT contains(o, x)),
         steps AS (SELECT o, step, substr(o, step, 1) AS x, substr(o, 1, step - 1) AS earlier FROM orders, range(1, 6) r(step) WHERE length(o) = 5),

@@ -15,19 +15,20 @@ rows are rewritten alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellshift.llm.common import let, materialize
 
-KEY = "surrogate-key"  # a parameter of every call; keep the real one out of the code
+KEY_SETTING = "spark.cellshift.surrogates.key"  # where a cluster keeps the real key
+KEY = "surrogate-key"  # for sessions without that setting, as in tests
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Titles that tell a gender, and those that don't.
 MALE, FEMALE, OPEN = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"], ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], ["Dr", "Prof"]
 _LABEL = r"(?i:token|secret|api_key|apikey|passwd|password) ?[=:]"  # what a secret stands behind
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": rf"(?<={_LABEL} ?[\"']?)[A-Za-z0-9+/_-]{{12,}}+",
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -94,15 +95,22 @@ def _letter(c: Column, number: Column, hexadecimal: Column) -> Column:
 
 
 def _spelled(e: Column, kind: Column, seed: Column) -> Column:
-    """e with letters and digits replaced in place, the kind's fixed beginning kept."""
+    """e with letters and digits replaced in place, the kind's fixed beginning kept.
 
-    def new(bare: Column, kept: Column, hexadecimal: Column) -> Column:
-        def one(i: Column) -> Column:
-            c, number = F.substring(bare, i, F.lit(1)), _byte(seed, i)
-            digit = F.when(kind == "aws", 2 + number % 6).when((kind == "phone") & (i == kept + 1), 2 + number % 8).otherwise(number % 10)
-            return F.when(i <= kept, c).when(c.rlike(r"^\p{N}$"), digit.cast("string")).otherwise(_letter(c, number, hexadecimal))
+    Numbers that may be written with separators are spelled without them first, so that they agree however they are
+    written; they are short. All else, of any length, goes character by character.
+    """
+
+    def char(c: Column, i: Column, kept: Column, hexadecimal: Column) -> Column:
+        number = _byte(seed, i)
+        digit = F.when(kind == "aws", 2 + number % 6).when((kind == "phone") & (i == kept + 1), 2 + number % 8).otherwise(number % 10)
+        return F.when(i <= kept, c).when(c.rlike(r"^\p{N}$"), digit.cast("string")).when(c.rlike(_NOT_ALNUM), c).otherwise(_letter(c, number, hexadecimal))
+
+    def along(text: Column, kept: Column, hexadecimal: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, ""), lambda c, j: char(c, j + 1, kept, hexadecimal)), "")
 
-        spelled = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1))), one), "")
+    def new(bare: Column, kept: Column) -> Column:
+        spelled = along(bare, kept, F.lit(False))
         return F.when((kind == "card") & (_luhn(bare) % 10 == 0), let(spelled, _checked)).otherwise(spelled)
 
     def back(letters: Column) -> Column:
@@ -114,10 +122,12 @@ def _spelled(e: Column, kind: Column, seed: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(e), F.lit(1))), one), "")
 
     country = F.length(F.regexp_extract(e, r"^\+(\d+)", 1))
-    kept = F.when(kind == "aws", 4).when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", country).otherwise(0)
-    hexadecimal = (kind == "secret") & e.rlike(r"^[0-9a-f]+$|^[0-9A-F]+$")
+    kept = F.when(kind == "card", 1).when(kind == "iban", 2).when(kind == "phone", country).otherwise(0)
+    hexadecimal = (kind == "secret") & e.rlike(r"^[0-9a-f]++$|^[0-9A-F]++$")
     bare = F.regexp_replace(e, _NOT_ALNUM, "")
-    return let(let(F.struct(bare.alias("b"), kept.alias("k"), hexadecimal.alias("h")), lambda x: new(x.b, x.k, x.h)), back)
+    separated = let(let(F.struct(bare.alias("b"), kept.alias("k")), lambda x: new(x.b, x.k)), back)
+    whole = let(F.struct(F.when(kind == "aws", 4).otherwise(0).alias("k"), hexadecimal.alias("h")), lambda x: along(e, x.k, x.h))
+    return F.when(kind.isin("phone", "card", "iban", "ssn"), separated).otherwise(whole)
 
 
 def _luhn(digits: Column) -> Column:
@@ -176,7 +186,11 @@ def entities(text: str = "text") -> Column:
     return F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def exceptions(mentions: DataFrame, key: str = KEY, max_rounds: int = 40) -> DataFrame | None:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
+
+
+def exceptions(mentions: DataFrame, key: str, max_rounds: int = 40) -> DataFrame | None:
     """(kind, canon, attempt) of entities whose first surrogate would not be their own alone; None if there are none.
 
     mentions (entity): any number of rows of each; they are made distinct first.
@@ -199,9 +213,9 @@ def exceptions(mentions: DataFrame, key: str = KEY, max_rounds: int = 40) -> Dat
     raise RuntimeError("surrogates still collide: a kind has more entities than replacements")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with text rewritten, and n_entities; other columns stay."""
-    columns = docs.columns
+def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with text rewritten, and n_entities; other columns stay. The key is the session's unless given."""
+    columns, key = docs.columns, key or session_key(docs.sparkSession)
     found = docs.withColumn("__found", entities())
     odd = exceptions(docs.select(F.explode(entities()).alias("entity")), key)
     if odd is None:

@@ -247,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     marked = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = stratified(marked.where(F.col("toxic").isin(0, 1)), "toxic", per_class)  # 2 * per_class rows at most
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id")
-    sample = texts.dropDuplicates(["text"])  # copies would count as evidence many times
+    # copies would count as evidence many times; where their labels differ, toxic holds
+    sample = texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
     sample = materialize(sample, "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):

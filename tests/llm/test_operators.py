@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cellshift.llm import byte_cnn, decontamination, kk_sharding, license_scan, packing, simhash, surrogates, token_counts, topk_search, toxicity_crf
+from cellshift.llm.common import stratified
 from cellshift.llm.encoding import default_path
 
 LONG = " ".join(f"word{i % 977} and" for i in range(9000))
@@ -159,7 +160,8 @@ def test_decontamination_matches_brute_force(spark):
 
     want = set()
     for d, text in enumerate(texts):
-        own = set(runs(text))
+        ws = text.split()
+        own = {tuple(ws[i : i + n]) for n in range(1, 6) for i in range(len(ws) - n + 1)}
         for i, item in items:
             if sum(r in own for r in runs(item)) >= 0.5 * len(runs(item)):
                 want.add((d, i))
@@ -168,6 +170,45 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.leaks(documents(spark, []), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_short_items_names_and_case(spark):
+    """A short item inside a long text, names at sentence starts and line ends, changed case, windows of numbers alone."""
+    tom = "Tom has 5 apples. Tom buys 3 more from Mary. Mary gives Tom a plum. How many does Tom have?"
+    ann = tom.replace("Tom", "Ann").replace("Mary", "Eve").replace("5", "7")
+    items = [(1, "purple elephant sings"), (2, tom), (3, "1 2 3 4 5"), (4, "Which numbers follow: 2, 4, 8, 16, 32, 64")]
+    texts = ["word " * 300 + "a Purple, elephant SINGS here" + " word" * 300, ann, ann.replace(". ", ".\n"), tom.upper(), tom.lower(), ann.replace("Eve gives Ann", "Ann gives Eve"),
+             "9 8 7 6 5 4 3 2 1 " * 200, "then 1, 2, 3, 4, 5 and on", "purple elephant", "Which numbers follow: 3, 9, 27, 81, 243, 729"]
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontamination.leaks(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1, "same"), (1, 2, "reparameterised"), (2, 2, "reparameterised"), (3, 2, "same"), (4, 2, "same"), (7, 3, "same"), (9, 4, "reparameterised")}
+
+
+def test_decontamination_joins_rarest_windows(spark):
+    """One frame that all items and documents share makes no candidates while items hold rarer windows."""
+    frame = "what is the sum of"
+    own = lambda i, heads: " ".join(x + chr(97 + i % 26) for x in heads)
+    items = [(i, f"{frame} {own(i, 'abcde')}") for i in range(20)]
+    texts = [f"{frame} {own(i, 'xy')}" for i in range(30)] + [f"x {items[3][1]} y"]
+    got = decontamination.leaks(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched"], r["windows"]) for r in got] == [(30, 3, 6, 6)]
+
+
+HOSTILE = {
+    "numbers": ",".join(["12.5"] * 100_000), "lines": "\n" * 100_000, "marks": ".! " * 100_000, "host": "a@b" + ".c" * 100_000, "local": "a." * 100_000 + "@b.c", "digits": "1" * 100_000,
+    "groups": "4234 " * 50_000, "dashes": "123-" * 50_000, "codes": "DE12 " + "ABCD " * 50_000, "names": "Mr. " + "Ab " * 50_000, "titles": "Mr. " * 50_000, "secret": "password=" + "a" * 100_000,
+    "dots": "1." * 50_000, "plus": "+1 " * 50_000, "at": "@" * 100_000,
+}
+
+
+def test_long_repeats_do_not_overflow(spark, tmp_path):
+    """100,000 repeats for every repeated group of the patterns, read from Parquet as executors do."""
+    documents(spark, list(HOSTILE.values())).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    items = spark.createDataFrame([(1, ITEM), (2, HOSTILE["numbers"])], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.leaks(docs, items).collect()} == {0}
+    rewritten = {r["doc_id"]: r["text"] for r in surrogates.replace(docs.select("doc_id", "text")).collect()}
+    for i, (name, text) in enumerate(HOSTILE.items()):
+        assert (rewritten[i] != text) == (name in ("host", "local", "codes", "groups", "names", "titles", "secret")), name
+
+
 def test_license_scan(spark):
     notice = license_scan.TEMPLATES[5][1]
     texts = [*TEXTS, "MIT-License, mit license; Apache\nLicense x General Public License", "é" * 50 + " Released under the MIT licence? the mit license.",
@@ -185,9 +226,9 @@ def test_license_scan(spark):
         own, share = set(base), 1.0 if places else 0.0
         for start in range(0, max(1, len(words)), license_scan.STRIDE):
             block = set(words[start : start + license_scan.BLOCK_WORDS])
-            for label, t in license_scan.TEMPLATES:
+            for label, t, required in license_scan.TEMPLATES:
                 c = len(block & set(t.split())) / len(set(t.split()))
-                if c >= license_scan.THRESHOLD:
+                if c >= license_scan.THRESHOLD and set(required.split()) <= block:
                     own.add(label)
                     share = max(share, c)
         r = got[i]
@@ -196,6 +237,25 @@ def test_license_scan(spark):
     assert license_scan.scan(documents(spark, [])).count() == 0
 
 
+def test_license_frames_name_one_license(spark):
+    """What only the frame of a notice has in common is no notice of that license."""
+    apache, gpl = license_scan.TEMPLATES[3][1], next(t for label, t, _ in license_scan.TEMPLATES if label == "gpl")
+    texts = ["This code is released under the Apache License 2.0", "released under the GNU General Public License", "the film was released under the label of a license holder",
+             "Licensed under the Foo License, Version 2.0", apache.upper(), gpl.replace("gnu", "acme"), "this work is licensed under the gnu general public license version 3"]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["apache", "gpl", "", "", "apache", "gpl", "gpl"]
+    assert all(set(required.split()) <= set(t.split()) and 6 < len(set(t.split())) and len(t.split()) <= license_scan.STRIDE for _, t, required in license_scan.TEMPLATES)
+
+
+def test_stratified_keeps_every_stratum(spark):
+    """No stratum is too rare, and the sample stays bounded with many of them."""
+    rows = spark.range(6000).selectExpr("id as doc_id", "case when id < 3000 then 'big' else concat('l', id % 1200) end as lang")
+    drawn = Counter(r["lang"] for r in stratified(rows, "lang", 50).collect())
+    assert len(drawn) == 1201 and drawn["big"] == 50 and max(drawn.values()) == 50
+    few = Counter(r["lang"] for r in stratified(rows, "lang", 50, total=2402).collect())
+    assert len(few) == 1201 and max(few.values()) == 2
+
+
 def brute_fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     runs = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
@@ -450,6 +510,14 @@ def test_top_k(spark):
     assert topk_search.top_k(frame.where("false")).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one id are candidates of each other; each is a query of its own."""
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (None, [9.0, 9.0])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    scores = [[(2 * 65536, 50), (65536, 7), (65536, 7)], [(2 * 65536, 7), (2 * 65536, 7), (2 * 65536, 50)]]
+    assert sorted((r["query_id"], r["rank"], r["score"], r["vec_id"]) for r in got) == sorted((50, i + 1, *x) for q in scores for i, x in enumerate(q))
+
+
 def test_folded_network_equals_the_layers():
     texts, labels = ["the cat sat on the mat"] * 3, ["a", "b", "c"]
     model = byte_cnn.train(texts, labels, steps=2, batch=4)
@@ -472,7 +540,7 @@ def test_language_id(spark):
     assert model.languages == ["xx", "yy"]
     got = {r["doc_id"]: r for r in byte_cnn.predict(docs, model).collect()}
     assert all(got[i]["lang_pred"] == lang and 0.5 < got[i]["score"] <= 1 for i, _, lang in rows)
-    edge = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in byte_cnn.predict(documents(spark, [None, "", " 12 ?!", "漢字", LONG]), model).collect()}
+    edge = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in byte_cnn.predict(documents(spark, [None, "", " 12 ?! ½ ² Ⅷ ٣", "漢字", LONG]), model).collect()}
     assert [edge[i] for i in range(3)] == [("und", 0.0)] * 3 and edge[3][0] in model.languages and edge[4][0] in model.languages
     assert byte_cnn.fit(docs.where("false")) is None
     assert {r["lang_pred"] for r in byte_cnn.predict(docs, None).collect()} == {"und"}
