@@ -193,7 +193,7 @@ def half_assignment(spark, sf_dir):
     marked = halves.mark_halves(b.stats, b.matching, b.half_cutoffs, b.cfg.n_ceiling_reps, b.cfg.seed)
     reps = F.sequence(F.lit(0), F.lit(b.cfg.n_ceiling_reps - 1))
     return marked.select("cell_id", "halves", F.explode(reps).alias("rep")).select(
-        "cell_id", "rep", (1 - F.getbit("halves", F.col("rep"))).cast("int").alias("half")
+        "cell_id", "rep", F.when(F.get("halves", F.col("rep")), 0).otherwise(1).alias("half")
     )
 
 

@@ -45,7 +45,8 @@ class Sweep:
 
     @cached_property
     def obs(self) -> DataFrame:
-        return self.build.obs
+        """What folds are made from: the conditions' metadata, which profiles hold too."""
+        return getattr(self.build, "obs", self.build.profiles)
 
     @cached_property
     def folds(self) -> DataFrame:
