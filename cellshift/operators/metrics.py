@@ -8,13 +8,14 @@ aggregating in place, so nothing long is shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.functions import arrays
+from cellshift.functions import arrays, keyed
 
 # The metrics and the direction in which each improves.
 METRIC_DIRECTION = {
@@ -181,45 +182,33 @@ def aggregate(values: DataFrame, keys: list[str], value: str = "v") -> DataFrame
     )
 
 
-SHARD_ROWS = 4096
+LEAF_RANKS, SHARD_RANKS = 64, 4096  # values drawn among at once, and in one task; a shard is a whole number of leaves, a power of two
 
 
 def bootstrap_ci(
-    values: DataFrame, keys: list[str], order: list[str], seed: int, n_boot: int = 1000, alpha: float = 0.05,
-    draws: str = "generator", value: str = "v",
+    values: DataFrame, keys: list[str], order: list[str], seed: int, n_boot: int = 1000, alpha: float = 0.05, value: str = "v"
 ) -> DataFrame:
     """(keys, ci_low, ci_high): percentile bootstrap interval of the mean of the defined values.
 
-    A group is cut into shards of at most about SHARD_ROWS values. How many of a resample's draws fall
-    into each shard is multinomial, derived identically by all shards from the group's seed; each
-    shard then draws that many of its own values and returns one sum per resample. The sums add up
-    to a plain bootstrap of the whole group without any task holding it. One value gives (v, v), none
-    gives NULLs. With draws='digest' positions come from md5 digests, which other engines can repeat.
+    A group's values are ranked by a keyed digest of their order columns. A binary tree stands over the ranks: its root
+    holds as many draws as there are values, every node gives its left half a binomial share, and a leaf deals its draws
+    evenly. A node's generator is seeded by (seed, group, node) alone, so every task that needs a node gets the same
+    numbers, a value's weight depends on its rank and the group's size only, and shards of any number give
+    the sums of one n-of-n resample. Sums add up in a grouped aggregation, no task holds a group. One value gives
+    (v, v), none gives NULLs.
     """
     group_id = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    present = values.where(F.col(value).isNotNull())
-    n_shards = F.ceil(F.col("n_values") / SHARD_ROWS)
+    present = values.where(F.col(value).isNotNull()).select(*keys, value, keyed.digest(seed, "bootstrap", *keys, *order).alias("_key"))
     counts = present.groupBy(*keys).agg(F.count("*").alias("n_values"))
-    sharded = present.join(counts, keys).withColumn("shard", F.pmod(F.xxhash64(*order), n_shards).cast("int"))
-    packed = sharded.groupBy(*keys, "n_values", "shard").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(*order, value))), lambda e: e[value]).alias("vals")
-    )
-    sizes = packed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shard", F.size("vals").alias("size")))).alias("sizes"))
-    drawn = packed.join(sizes, keys).select(
-        *keys, "n_values",
-        _resample(n_boot, draws)(
-            "vals", F.transform("sizes", lambda s: s["shard"]), F.transform("sizes", lambda s: s["size"]), "shard", group_id
-        ).alias("sums"),
-    )
-    # add up the shards' sums resample by resample, then read the two percentiles off the sorted means
-    parts = drawn.groupBy(*keys, "n_values").agg(F.collect_list("sums").alias("parts"))
-    total = lambda b: F.aggregate("parts", F.lit(0.0), lambda acc, part: acc + F.get(part, b))
-    means = parts.withColumn(
-        "means", F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda b: total(b) / F.col("n_values")))
-    ).select(
+    largest = counts.agg(F.max("n_values")).first()[0] or 0
+    ranked = keyed.keyed_rank(present, keys, "_key", keyed.prefix_length(largest)).withColumn("shard", F.floor((F.col("rank") - 1) / SHARD_RANKS).cast("int"))
+    packed = ranked.groupBy(*keys, "shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", value))), lambda e: e[value]).alias("vals"))
+    drawn = packed.join(counts, keys).select(*keys, "n_values", F.posexplode(_resampled(n_boot)("vals", "shard", "n_values", group_id)).alias("b", "part"))
+    means = drawn.groupBy(*keys, "n_values", "b").agg((F.sum("part") / F.col("n_values")).alias("mean"))
+    ends = means.groupBy(*keys).agg(F.sort_array(F.collect_list("mean")).alias("means")).select(
         *keys, _sorted_percentile("means", alpha / 2, n_boot).alias("ci_low"), _sorted_percentile("means", 1 - alpha / 2, n_boot).alias("ci_high")
     )
-    return values.select(*keys).distinct().join(means, keys, "left")
+    return values.select(*keys).distinct().join(ends, keys, "left")
 
 
 def _sorted_percentile(values: str, p: float, length: int) -> Column:
@@ -230,35 +219,43 @@ def _sorted_percentile(values: str, p: float, length: int) -> Column:
     return a + F.lit(at - low) * (b - a)
 
 
-def _resample(n_boot: int, draws: str):
+def draw_weights(base: int, n: int, n_boot: int, first: int, last: int) -> Iterator[np.ndarray]:
+    """How often each resample draws each of the ranks first to last - 1 (from 0) of n, leaf by leaf: n_boot rows, a column per rank."""
+
+    def below(a: int, b: int, draws: np.ndarray) -> Iterator[np.ndarray]:
+        """Leaves a to b - 1, which hold `draws` of each resample together."""
+        if a * LEAF_RANKS >= last or b * LEAF_RANKS <= first:
+            return
+        rng = np.random.default_rng([base, a, b])
+        if b - a == 1:
+            size = min(n, b * LEAF_RANKS) - a * LEAF_RANKS
+            yield rng.multinomial(draws, np.full(size, 1 / size))
+            return
+        half = a + (1 << (b - a - 1).bit_length() - 1)  # left sides are full, so that shards are subtrees
+        share = (half - a) * LEAF_RANKS / (min(n, b * LEAF_RANKS) - a * LEAF_RANKS)
+        left = rng.binomial(draws, share)
+        yield from below(a, half, left)
+        yield from below(half, b, draws - left)
+
+    return below(0, -(-n // LEAF_RANKS), np.full(n_boot, n))
+
+
+def _resampled(n_boot: int):
     @F.pandas_udf("array<double>")
-    def sums(vals: pd.Series, shards: pd.Series, sizes: pd.Series, shard: pd.Series, key: pd.Series) -> pd.Series:
+    def sums(vals: pd.Series, shards: pd.Series, sizes: pd.Series, key: pd.Series) -> pd.Series:
         import hashlib
 
-        def digest(text: str, width: int) -> int:
-            return int(hashlib.md5(text.encode()).hexdigest()[:width], 16)
-
         out = []
-        for v, ids, sz, s, k in zip(vals, shards, sizes, shard, key):
-            v, sz = np.asarray(v, float), np.asarray(sz, int)
-            if sz.sum() == 1:
-                out.append([float(v[0])] * n_boot)
-                continue
-            if draws == "digest" and len(sz) == 1:
-                n = len(v)
-                out.append([
-                    float(v[[digest(f"{k}|{b}|{j}", 8) % n for j in range(n)]].sum()) for b in range(n_boot)
-                ])
-                continue
-            base = digest(k, 15)
-            rng = np.random.default_rng([base, int(s) + 1])
-            if len(sz) == 1:
-                out.append(v[rng.integers(0, len(v), (n_boot, len(v)))].sum(axis=1))
+        for v, shard, n, k in zip(vals, shards, sizes, key):
+            v = np.asarray(v, float)
+            if n == 1:
+                out.append(np.full(n_boot, v[0]))
                 continue
-            take = np.random.default_rng(base).multinomial(sz.sum(), sz / sz.sum(), size=n_boot)[:, list(ids).index(s)]
-            ends = np.cumsum(take)
-            running = np.concatenate([[0.0], np.cumsum(v[rng.integers(0, len(v), ends[-1])])])
-            out.append(running[ends] - running[ends - take])
+            base, total, at = int(hashlib.md5(k.encode()).hexdigest()[:15], 16), np.zeros(n_boot), 0
+            for weights in draw_weights(base, int(n), n_boot, int(shard) * SHARD_RANKS, int(shard) * SHARD_RANKS + len(v)):
+                total += weights @ v[at : at + weights.shape[1]]
+                at += weights.shape[1]
+            out.append(total)
         return pd.Series(out)
 
     return sums

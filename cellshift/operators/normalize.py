@@ -68,7 +68,7 @@ def attach_floor_and_ceiling(stats: DataFrame) -> DataFrame:
     return both.join(floor, on, "left").join(top, ["fold", "representation", "metric"], "left")
 
 
-def results_table(scores: DataFrame, folds: DataFrame, rates: DataFrame, seed: int, n_boot: int = 1000, draws: str = "generator") -> DataFrame:
+def results_table(scores: DataFrame, folds: DataFrame, rates: DataFrame, seed: int, n_boot: int = 1000) -> DataFrame:
     """The long results table: one row per (fold, baseline, metric, representation, target).
 
     n_conditions counts every repetition of a condition under the replicate target, as do the
@@ -76,7 +76,7 @@ def results_table(scores: DataFrame, folds: DataFrame, rates: DataFrame, seed: i
     """
     values = unpivot(scores)
     stats = materialize(aggregate(values, GROUP).withColumnRenamed("mean", "value"), "stats")
-    intervals = bootstrap_ci(values, GROUP, ["cond_id", "rep"], seed, n_boot, draws=draws)
+    intervals = bootstrap_ci(values, GROUP, ["cond_id", "rep"], seed, n_boot)
     sizes = folds.where("role = 'test'").groupBy(F.col("regime").alias("split"), "fold").agg(F.count("*").alias("n_test"))
     # the ceiling's row under the other target repeats its one interval
     scored_on = F.when(F.col("baseline") == CEILING, F.lit(HALF)).otherwise(F.col("target"))

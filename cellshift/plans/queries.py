@@ -365,15 +365,15 @@ def metric_aggregate(spark, sf_dir):
 
 @register
 def bootstrap_ci(spark, sf_dir):
-    values = metrics.unpivot(scored_sweep(spark, sf_dir, names=SIMPLE).scores)
-    values = values.where((F.col("target") == metrics.FULL) & F.col("metric").isin("mae", "pearson_r_de"))
-    out = metrics.bootstrap_ci(values, normalize.GROUP, ["cond_id", "rep"], 0, n_boot=40, draws="digest")
+    """Every predictor, metric and target, 1,000 resamples."""
+    values = metrics.unpivot(scored_sweep(spark, sf_dir).scores)
+    out = metrics.bootstrap_ci(values, normalize.GROUP, ["cond_id", "rep"], 0)
     return round_all(out, "ci_low", "ci_high")
 
 
 @register
 def clustered_ci(spark, sf_dir):
-    return round_all(normalize.clustered_ci(scored_sweep(spark, sf_dir, names=SIMPLE).scores, 0), "ci_low", "ci_high")
+    return round_all(normalize.clustered_ci(scored_sweep(spark, sf_dir).scores, 0), "ci_low", "ci_high")
 
 
 def _results(spark, sf_dir, n_boot: int = 1, names: tuple[str, ...] | None = SIMPLE) -> DataFrame:

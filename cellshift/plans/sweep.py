@@ -97,7 +97,7 @@ class Sweep:
         pairs = metrics.scoring_pairs(self.predictions, self.truth, self.half)
         return materialize(metrics.score_conditions(pairs, metrics.truth_pools(self.truth, self.half)), "scores")
 
-    def results(self, n_boot: int = 1000, draws: str = "generator", fold: str | None = None) -> DataFrame:
+    def results(self, n_boot: int = 1000, fold: str | None = None) -> DataFrame:
         """The results table, of one fold or of all; folds share the stored predictions and scores."""
         scores, folds, predictions = (df if fold is None else df.where(F.col("fold") == fold) for df in (self.scores, self.folds, self.predictions))
-        return normalize.results_table(scores, folds, baselines.fallback_rates(predictions), self.cfg.seed, n_boot, draws)
+        return normalize.results_table(scores, folds, baselines.fallback_rates(predictions), self.cfg.seed, n_boot)

@@ -155,17 +155,6 @@ ORACLE["normalized_scores"] = query(_RES, f"""SELECT {_RKEYS}, {r6('value', 'val
     {r6('ceiling_value', 'ceiling_value')}, {r6('normalized', 'normalized')}, {r6('normalized_std', 'normalized_std')}, normalization_valid, n_conditions, n_test FROM res""")
 _COMBO = "split || '~' || fold || '~' || metric || '~' || representation || '~' || target"
 ORACLE["direction_guard"] = query(_RES, f"""SELECT count(DISTINCT {_COMBO}) AS n_total, count(DISTINCT {_COMBO}) FILTER (NOT normalization_valid) AS n_fired FROM res""")
-ORACLE["bootstrap_ci"] = query(_SCORES + [
-    ("bv", """SELECT fold, baseline, target, representation, metric, v, row_number() OVER (PARTITION BY fold, baseline, target, representation, metric
-        ORDER BY cond_id, rep) - 1 AS i, count(*) OVER (PARTITION BY fold, baseline, target, representation, metric) AS n
-        FROM vals WHERE v IS NOT NULL AND target = 'full_pseudobulk' AND metric IN ('mae', 'pearson_r_de')"""),
-    ("draws", """SELECT g.*, b, CASE WHEN n = 1 THEN 0 ELSE CAST('0x' || substr(md5(concat_ws('|', '0', fold, baseline, target, representation, metric, b, j)), 1, 8) AS BIGINT) % n END AS i
-        FROM (SELECT DISTINCT fold, baseline, target, representation, metric, n FROM bv) g, range(40) r(b), range(100) k(j) WHERE j < n"""),
-    ("bm", "SELECT fold, baseline, target, representation, metric, b, avg(v) AS m FROM draws JOIN bv USING (fold, baseline, target, representation, metric, n, i) GROUP BY ALL"),
-    ("ci", "SELECT fold, baseline, target, representation, metric, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY ALL"),
-], f"""SELECT fold, baseline, target, representation, metric, {r6('lo', 'ci_low')}, {r6('hi', 'ci_high')}
-    FROM (SELECT DISTINCT fold, baseline, target, representation, metric FROM vals WHERE target = 'full_pseudobulk' AND metric IN ('mae', 'pearson_r_de'))
-    LEFT JOIN ci USING (fold, baseline, target, representation, metric)""")
 
 _P5 = "split, baseline, metric, representation, target"
 ORACLE["pooled_results"] = query(

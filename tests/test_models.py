@@ -294,12 +294,34 @@ def test_bootstrap(spark):
     again = {r.k: (r.ci_low, r.ci_high) for r in metrics.bootstrap_ci(frame.repartition(7), ["k"], ["i"], 0).collect()}
     assert first == again and first["one"] == (4.0, 4.0) and first["none"] == (None, None)
     assert first["g"][0] < values.mean() < first["g"][1]
-    old, metrics.SHARD_ROWS = metrics.SHARD_ROWS, 32  # many shards: same distribution
+    old, metrics.SHARD_RANKS = metrics.SHARD_RANKS, 64  # many shards: the same interval
     try:
-        lo, hi = [(r.ci_low, r.ci_high) for r in metrics.bootstrap_ci(frame.where("k = 'g'"), ["k"], ["i"], 0).collect()][0]
+        many = [(r.ci_low, r.ci_high) for r in metrics.bootstrap_ci(frame.where("k = 'g'"), ["k"], ["i"], 0).collect()][0]
     finally:
-        metrics.SHARD_ROWS = old
-    assert np.allclose([lo, hi], first["g"], atol=0.05)
+        metrics.SHARD_RANKS = old
+    assert np.allclose(many, first["g"], rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [2, 63, 64, 65, 200, 1000])
+def test_draw_tree(n):
+    """Every resample draws n of n values; any cut of the ranks gives the same weights; their spread is a multinomial's."""
+    whole = np.concatenate(list(metrics.draw_weights(11, n, 4000, 0, n)), axis=1)
+    assert whole.shape == (4000, n) and (whole.sum(axis=1) == n).all()
+    cut = [np.concatenate(list(metrics.draw_weights(11, n, 4000, a, min(n, a + 128))), axis=1) for a in range(0, n, 128)]
+    assert np.array_equal(np.concatenate(cut, axis=1), whole)
+    assert abs(whole.mean(axis=0) - 1).max() < 0.1 and abs(whole.var(axis=0) - (1 - 1 / n)).max() < 0.2
+    pairs = np.cov(whole[:, [0, n - 1]].T)[0, 1]
+    assert abs(pairs + 1 / n) < 0.1
+    assert not np.array_equal(whole, np.concatenate(list(metrics.draw_weights(12, n, 4000, 0, n)), axis=1))
+
+
+def test_bootstrap_matches_plain_resampling(spark):
+    """The interval of a skewed sample against a resampling in numpy."""
+    values = np.random.default_rng(4).exponential(2, 300)
+    frame = spark.createDataFrame([("g", i, float(v)) for i, v in enumerate(values)], "k string, i int, v double")
+    got = metrics.bootstrap_ci(frame, ["k"], ["i"], 3, n_boot=4000).first()
+    plain = values[np.random.default_rng(5).integers(0, 300, (4000, 300))].mean(axis=1)
+    assert np.allclose([got.ci_low, got.ci_high], np.percentile(plain, [2.5, 97.5]), atol=0.04)
 
 
 def test_direction_guard(spark):
