@@ -126,10 +126,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float
                          .where(F.col("matched") >= coverage * F.col("windows")), "covered")
     slotted = index.where(F.size("item_slots") > 0)
     wanted = passed.join(slotted.select("item_id").distinct(), "item_id", "left_semi").select(F.col("doc_id").alias("d"), F.col("same").alias("s"), "item_id")
-    slot_hits = hits.join(slotted.select("run").distinct(), "run", "left_semi").join(wanted.select("d", "s").distinct(), here, "left_semi")
+    asked_docs = materialize(wanted.select("d", "s").distinct(), "slot-documents")  # its size is known: while it is small no text is shuffled
+    looked = keyed.join(asked_docs, here).select("doc_id", "same", raw_words().alias("__raw"))
+    slot_hits = hits.join(slotted.select("run").distinct(), "run", "left_semi").join(asked_docs, here, "left_semi")
     at = slot_hits.groupBy(F.col("doc_id").alias("d"), F.col("same").alias("s")).agg(F.collect_set(F.struct("doc_place", "run")).alias("places"))
-    at = materialize(at, "slot-places")  # its size is known: while it is small no text is shuffled
-    looked = keyed.join(at, here).withColumn("__raw", raw_words())
+    looked = looked.join(at, here)  # words of these documents alone
     cut = looked.select("doc_id", "same", F.explode(F.transform("places", lambda p: F.struct(p.doc_place.alias("doc_place"), p.run.alias("run"), F.slice("__raw", p.doc_place + 1, width).alias("raw")))).alias("x")).select("doc_id", "same", "x.*")
     shift = (F.col("doc_place") - F.col("place")).alias("shift")
     chosen = passed.select(F.col("doc_id").alias("d"), F.col("same").alias("s"), F.col("item_id").alias("i"), "matched", F.col("windows").alias("of"))
