@@ -72,11 +72,14 @@ def results_table(scores: DataFrame, folds: DataFrame, rates: DataFrame, seed: i
     """The long results table: one row per (fold, baseline, metric, representation, target).
 
     n_conditions counts every repetition of a condition under the replicate target, as do the
-    intervals; ci_low and ci_high of such rows are therefore narrow (see clustered_ci).
+    intervals; ci_low and ci_high of such rows are therefore narrow (see clustered_ci). With n_boot 0 both are NULL.
     """
     values = unpivot(scores)
     stats = materialize(aggregate(values, GROUP).withColumnRenamed("mean", "value"), "stats")
-    intervals = bootstrap_ci(values, GROUP, ["cond_id", "rep"], seed, n_boot)
+    if n_boot:
+        intervals = bootstrap_ci(values, GROUP, ["cond_id", "rep"], seed, n_boot)
+    else:
+        intervals = stats.select(*GROUP, *[F.lit(None).cast("double").alias(c) for c in ("ci_low", "ci_high")])
     sizes = folds.where("role = 'test'").groupBy(F.col("regime").alias("split"), "fold").agg(F.count("*").alias("n_test"))
     # the ceiling's row under the other target repeats its one interval
     scored_on = F.when(F.col("baseline") == CEILING, F.lit(HALF)).otherwise(F.col("target"))

@@ -206,8 +206,6 @@ def split_halves(spark, sf_dir):
 
 # --- folds, selection, predictors ------------------------------------------------------------
 
-SIMPLE = ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_context")
-
 
 def sweep(spark: SparkSession, sf_dir: str, **options) -> Sweep:
     return Sweep(build(spark, sf_dir), **options)
@@ -291,7 +289,7 @@ def _predictor_query(name: str) -> None:
     QUERIES[f"pred_{name}"] = query
 
 
-for _name in SIMPLE:
+for _name in ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_context"):
     _predictor_query(_name)
 
 
@@ -302,7 +300,7 @@ def nearest_line(spark, sf_dir):
 
 @register
 def fallback_rates(spark, sf_dir):
-    s = sweep(spark, sf_dir, names=SIMPLE)
+    s = sweep(spark, sf_dir)
     return round_all(baselines.fallback_rates(s.predictions), "fallback_rate", "fallback_rate_dose_collapsed")
 
 
@@ -332,7 +330,7 @@ def _pairs(s: Sweep) -> tuple[DataFrame, DataFrame]:
 
 def _score_query(representation: str) -> None:
     def query(spark, sf_dir):
-        pairs, _ = _pairs(scored_sweep(spark, sf_dir, names=SIMPLE))
+        pairs, _ = _pairs(scored_sweep(spark, sf_dir))
         scored = metrics.condition_metrics(pairs.where(F.col("baseline") != metrics.CEILING))
         scored = scored.where(F.col("representation") == representation).drop("representation")
         return round_all(scored, "pearson_r", "mae", "pearson_r_de", "direction_acc_de")
@@ -346,7 +344,7 @@ for _representation in metrics.REPRESENTATIONS:
 
 @register
 def pert_discrimination(spark, sf_dir):
-    pairs, pools = _pairs(scored_sweep(spark, sf_dir, names=SIMPLE))
+    pairs, pools = _pairs(scored_sweep(spark, sf_dir))
     return round_all(metrics.pert_discrimination(pairs.where(F.col("baseline") != metrics.CEILING), pools), "pert_discrimination")
 
 
@@ -359,7 +357,7 @@ def ceiling_scores(spark, sf_dir):
 
 @register
 def metric_aggregate(spark, sf_dir):
-    values = metrics.unpivot(scored_sweep(spark, sf_dir, names=SIMPLE).scores)
+    values = metrics.unpivot(scored_sweep(spark, sf_dir).scores)
     return round_all(metrics.aggregate(values, normalize.GROUP), "mean", "std")
 
 
@@ -376,8 +374,9 @@ def clustered_ci(spark, sf_dir):
     return round_all(normalize.clustered_ci(scored_sweep(spark, sf_dir).scores, 0), "ci_low", "ci_high")
 
 
-def _results(spark, sf_dir, n_boot: int = 1, names: tuple[str, ...] | None = SIMPLE) -> DataFrame:
-    return scored_sweep(spark, sf_dir, names=names).results(n_boot=n_boot)
+def _results(spark, sf_dir, n_boot: int = 0) -> DataFrame:
+    """The results table of the full sweep; without intervals where a query has no use for them."""
+    return scored_sweep(spark, sf_dir).results(n_boot=n_boot)
 
 
 @register
@@ -408,7 +407,7 @@ def b3_vs_b5_gap(spark, sf_dir):
 @register
 def b3_vs_b4_gap(spark, sf_dir):
     s = scored_sweep(spark, sf_dir, regimes=("held_out_context",))
-    out = pooling.compare_baselines(s.results(n_boot=1), "per_drug_mean_delta", "ridge")
+    out = pooling.compare_baselines(s.results(n_boot=0), "per_drug_mean_delta", "ridge")
     return round_all(out, "a_mean", "a_std", "b_mean", "b_std", "gap")
 
 
@@ -447,7 +446,7 @@ def inflation_diagnostic(spark, sf_dir):
 @register
 def results_long(spark, sf_dir):
     """The full sweep: every predictor, 1,000 resamples, 21 columns."""
-    return _results(spark, sf_dir, n_boot=1000, names=None).orderBy(*normalize.SORT_KEYS)
+    return _results(spark, sf_dir, n_boot=1000).orderBy(*normalize.SORT_KEYS)
 
 
 # --- ready-made profiles (embeddings) ----------------------------------------------------------

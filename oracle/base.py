@@ -15,7 +15,8 @@ def r6(expr: str, name: str) -> str:
 
 
 def query(ctes: list[tuple[str, str]], final: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + final
+    again = "RECURSIVE " if any(f"FROM {n} WHERE" in b and "UNION ALL" in b for n, b in ctes) else ""
+    return f"WITH {again}" + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + final
 
 
 def cells(

@@ -132,6 +132,9 @@ _PRED = _SEL + sweep.predictions()
 for _name in ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_context"):
     ORACLE[f"pred_{_name}"] = query(_PRED, f"""SELECT fold, cond_id, gene, {r6('pred', 'pred')}, fallback, tier
         FROM preds JOIN genes USING (gene_idx) WHERE baseline = '{_name}'""")
+for _name, _regimes in (("ridge", "'random', 'held_out_context'"), ("ridge_no_drug", "'held_out_drug', 'held_out_both'")):
+    ORACLE[f"{_name}_predictions"] = query(_PRED, f"""SELECT fold, cond_id, gene, {r6('pred', 'pred')}, fallback, alpha, n_components
+        FROM ridge JOIN genes USING (gene_idx) WHERE regime IN ({_regimes})""")
 ORACLE["nearest_line"] = query(_PRED, f"SELECT fold, cond_id, line, tier, {r6('sim', 'sim')} FROM cands JOIN sims USING (fold, cond_id, line)")
 ORACLE["fallback_rates"] = query(_PRED, f"""SELECT fold, baseline, {r6('fallback_rate', 'fallback_rate')},
     {r6('fallback_rate_dose_collapsed', 'fallback_rate_dose_collapsed')} FROM rates""")
@@ -165,14 +168,15 @@ ORACLE["pooled_results"] = query(
 
 _PRIMARY = "representation = 'delta' AND target = 'replicate_half'"
 _HIGHER = "metric IN ('pearson_r', 'pearson_r_de', 'direction_acc_de')"
-ORACLE["b3_vs_b5_gap"] = query(
-    _RES + sweep.pooled("metric, baseline", "res", "pb", where=f"{_PRIMARY} AND split = 'held_out_context'") + [
-        ("ci", "SELECT *, mean - 1.96 * std / sqrt(n) AS lo, mean + 1.96 * std / sqrt(n) AS hi FROM pb"),
-        ("j", """SELECT a.metric, a.mean AS am, a.std AS asd, a.n AS an, b.mean AS bm, b.std AS bsd, b.n AS bn, a.hi < b.lo OR a.lo > b.hi AS apart
-            FROM ci a JOIN ci b USING (metric) WHERE a.baseline = 'per_drug_mean_delta' AND b.baseline = 'nearest_context'"""),
-    ], f"""SELECT metric, {r6('am', 'a_mean')}, {r6('asd', 'a_std')}, an AS a_n, {r6('bm', 'b_mean')}, {r6('bsd', 'b_std')}, bn AS b_n,
-    {r6('bm - am', 'gap')}, NOT apart AS overlap, CASE WHEN NOT apart THEN 'no significant difference'
-    WHEN (bm > am) = ({_HIGHER}) THEN 'nearest_context' ELSE 'per_drug_mean_delta' END AS winner FROM j""")
+for _query, _other in (("b3_vs_b5_gap", "nearest_context"), ("b3_vs_b4_gap", "ridge")):
+    ORACLE[_query] = query(
+        _RES + sweep.pooled("metric, baseline", "res", "pb", where=f"{_PRIMARY} AND split = 'held_out_context'") + [
+            ("ci", "SELECT *, mean - 1.96 * std / sqrt(n) AS lo, mean + 1.96 * std / sqrt(n) AS hi FROM pb"),
+            ("j", f"""SELECT a.metric, a.mean AS am, a.std AS asd, a.n AS an, b.mean AS bm, b.std AS bsd, b.n AS bn, a.hi < b.lo OR a.lo > b.hi AS apart
+                FROM ci a JOIN ci b USING (metric) WHERE a.baseline = 'per_drug_mean_delta' AND b.baseline = '{_other}'"""),
+        ], f"""SELECT metric, {r6('am', 'a_mean')}, {r6('asd', 'a_std')}, an AS a_n, {r6('bm', 'b_mean')}, {r6('bsd', 'b_std')}, bn AS b_n,
+        {r6('bm - am', 'gap')}, NOT apart AS overlap, CASE WHEN NOT apart THEN 'no significant difference'
+        WHEN (bm > am) = ({_HIGHER}) THEN '{_other}' ELSE 'per_drug_mean_delta' END AS winner FROM j""")
 
 ORACLE["beats_no_change"] = query(
     _RES + [("prim", f"SELECT * FROM res WHERE {_PRIMARY} AND baseline <> 'ceiling'"),

@@ -53,8 +53,58 @@ def selection(n_hvg: int = 15):
     ]
 
 
-def predictions():
+def ridge():
+    """Ridge in the space of the genes themselves, as one dense system per fold, held part and alpha.
+
+    With no component left out, whitening turns into a penalty: alpha times the control covariance on the genes'
+    coefficients, alpha on the dose and on each compound, none on the constant.
+    """
+    own_compounds = "regime IN ('random', 'held_out_context')"
     return [
+        ("rtrain", """SELECT fold, cond_id, count(*) OVER w AS n, avg(log_dose) OVER w AS dose_mean, stddev_pop(log_dose) OVER w AS dose_sd,
+            CAST((row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('|', '0', 'ridge-cv', fold, cond_id))) - 1) % least(5, count(*) OVER w) AS INTEGER) AS cv
+            FROM train JOIN conds USING (cond_id) WINDOW w AS (PARTITION BY fold)"""),
+        ("rfold", f"""SELECT fold, {own_compounds} AS drugs, any_value(n) AS n, any_value(dose_mean) AS dose_mean,
+            CASE WHEN any_value(dose_sd) > 1e-12 THEN any_value(dose_sd) ELSE 1.0 END AS dose_sd, list(DISTINCT compound ORDER BY compound) AS names
+            FROM rtrain JOIN conds USING (cond_id) JOIN (SELECT DISTINCT regime, fold FROM folds) USING (fold) GROUP BY fold, regime"""),
+        ("centre", "SELECT fold, gene_idx, avg(control) AS m FROM tp GROUP BY ALL"),
+        ("rgenes", """SELECT fold, cond_id, list(control - m ORDER BY gene_idx) AS x, list(delta ORDER BY gene_idx) AS y, count(*) AS g
+            FROM folds JOIN prof USING (cond_id) JOIN centre USING (fold, gene_idx) GROUP BY ALL"""),
+        ("rrows", """SELECT fold, cond_id, cv, n, g, drugs AND NOT list_contains(names, compound) AS fallback, y,
+            list_concat([1.0::DOUBLE], x, [(log_dose - dose_mean) / dose_sd],
+                CASE WHEN drugs THEN list_transform(names, lambda c: CASE WHEN c = compound THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) ELSE []::DOUBLE[] END) AS x
+            FROM rgenes JOIN conds USING (cond_id) JOIN rfold USING (fold) LEFT JOIN (SELECT fold, cond_id, cv FROM rtrain) USING (fold, cond_id)"""),
+        ("rx", "SELECT fold, cond_id, cv, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS xi FROM rrows"),
+        ("rv", "SELECT fold, cond_id, unnest(range(1, len(x) + len(y) + 1)) AS j, unnest(list_concat(x, y)) AS v FROM rrows WHERE cv IS NOT NULL"),
+        ("rsums", "SELECT fold, cv, i, j, sum(xi * v) AS s FROM rx JOIN rv USING (fold, cond_id) GROUP BY ALL"),
+        ("rwhole", "SELECT fold, i, j, sum(s) AS s FROM rsums GROUP BY ALL"),
+        ("rdim", "SELECT fold, any_value(len(x)) AS p, any_value(g) AS g, any_value(n) AS n FROM rrows GROUP BY 1"),
+        ("rheld", "SELECT DISTINCT fold, cv AS held FROM rtrain UNION ALL SELECT DISTINCT fold, -1 FROM rtrain"),
+        ("rsystem", """SELECT fold, held, alpha, i, p, list(w.s - coalesce(h.s, 0) + CASE WHEN i BETWEEN 2 AND g + 1 AND j BETWEEN 2 AND g + 1 THEN alpha * w.s / (n - 1)
+                WHEN i = j AND i > 1 THEN alpha ELSE 0 END ORDER BY j) AS vals
+            FROM rheld JOIN rdim USING (fold) JOIN rwhole w USING (fold) LEFT JOIN (SELECT fold, cv AS held, i, j, s FROM rsums) h USING (fold, held, i, j),
+                (VALUES (0.1), (1.0), (10.0), (100.0), (1000.0)) a(alpha) GROUP BY fold, held, alpha, i, p"""),
+        ("eliminated", """SELECT 0 AS k, fold, held, alpha, i, p, vals FROM rsystem
+            UNION ALL SELECT k + 1, fold, held, alpha, i, p, CASE WHEN i = k + 1 THEN list_transform(pivot_row, lambda x: x / pivot_row[k + 1])
+                ELSE list_transform(list_zip(vals, pivot_row), lambda z: z[1] - vals[k + 1] / pivot_row[k + 1] * z[2]) END
+            FROM (SELECT *, max(CASE WHEN i = k + 1 THEN vals END) OVER (PARTITION BY fold, held, alpha) AS pivot_row FROM eliminated WHERE k < p)"""),
+        ("coefs", "SELECT fold, held, alpha, i, unnest(range(1, len(vals) - p + 1)) AS j, unnest(vals[p + 1:]) AS c FROM eliminated WHERE k = p"),
+        ("rmiss", """SELECT fold, held, alpha, sum((f - y[j]) ** 2) / count(*) AS miss FROM (
+            SELECT fold, cond_id, cv AS held, alpha, j, sum(xi * c) AS f FROM rx JOIN coefs USING (fold, i) WHERE cv = held GROUP BY ALL)
+            JOIN rrows USING (fold, cond_id) GROUP BY ALL"""),
+        ("ralpha", """SELECT fold, alpha FROM (SELECT fold, alpha, avg(miss) AS miss FROM rmiss GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY fold ORDER BY miss, alpha) = 1"""),
+        ("rpred", """SELECT fold, cond_id, j, alpha, sum(xi * c) AS pred FROM rx JOIN coefs USING (fold, i) JOIN ralpha USING (fold, alpha)
+            WHERE cv IS NULL AND held = -1 GROUP BY ALL"""),
+        ("rgene", "SELECT fold, gene_idx, row_number() OVER (PARTITION BY fold ORDER BY gene_idx) AS j FROM sel"),
+        ("ridge", f"""SELECT regime, fold, cond_id, CASE WHEN {own_compounds} THEN 'ridge' ELSE 'ridge_no_drug' END AS baseline, gene_idx, pred, fallback,
+            CAST(alpha AS DOUBLE) AS alpha, CAST(least(50, n - 1, g) AS INTEGER) AS n_components
+            FROM rpred JOIN rgene USING (fold, j) JOIN rrows USING (fold, cond_id) JOIN testx USING (fold, cond_id)"""),
+    ]
+
+
+def predictions():
+    plain = [
         ("testx", f"SELECT regime, fold, cond_id, {KEYS} FROM folds JOIN conds USING (cond_id) WHERE role = 'test'"),
         ("tp", f"SELECT fold, cond_id, {KEYS}, gene_idx, delta, control FROM train JOIN prof USING (cond_id) JOIN sel USING (fold, gene_idx)"),
         ("gm", "SELECT fold, gene_idx, avg(delta) AS m FROM tp GROUP BY ALL"),
@@ -71,6 +121,8 @@ def predictions():
         ("pick", """SELECT * FROM cands JOIN sims USING (fold, cond_id, line)
             QUALIFY row_number() OVER (PARTITION BY fold, cond_id ORDER BY tier, sim DESC, line) = 1"""),
         ("slots", "SELECT * FROM testx JOIN sel USING (fold)"),
+    ]
+    return plain + ridge() + [
         ("preds", """SELECT fold, cond_id, 'no_change' AS baseline, gene_idx, CAST(0 AS DOUBLE) AS pred, false AS fallback, CAST(NULL AS INTEGER) AS tier FROM slots
             UNION ALL SELECT fold, cond_id, 'global_mean_delta', gene_idx, m, false, NULL FROM slots JOIN gm USING (fold, gene_idx)
             UNION ALL SELECT s.fold, s.cond_id, 'per_drug_mean_delta', s.gene_idx, coalesce(cd.m, cm1.m, gm.m), cd.m IS NULL AND cm1.m IS NULL,
@@ -80,7 +132,8 @@ def predictions():
                 p.tier IS NULL, coalesce(p.tier, 2) FROM slots s LEFT JOIN pick p USING (fold, cond_id)
                 LEFT JOIN lcd ON lcd.fold = s.fold AND lcd.line = p.line AND lcd.compound = s.compound AND lcd.dose = s.dose AND lcd.gene_idx = s.gene_idx
                 LEFT JOIN lcm ON lcm.fold = s.fold AND lcm.line = p.line AND lcm.compound = s.compound AND lcm.gene_idx = s.gene_idx
-                LEFT JOIN gm ON gm.fold = s.fold AND gm.gene_idx = s.gene_idx"""),
+                LEFT JOIN gm ON gm.fold = s.fold AND gm.gene_idx = s.gene_idx
+            UNION ALL SELECT fold, cond_id, baseline, gene_idx, pred, fallback, NULL FROM ridge"""),
         ("rates", """SELECT fold, baseline, avg(CASE WHEN fallback THEN 1.0 ELSE 0 END) AS fallback_rate,
             avg(CASE WHEN tier IS NOT NULL THEN CASE WHEN tier = 1 THEN 1.0 ELSE 0 END END) AS fallback_rate_dose_collapsed
             FROM (SELECT DISTINCT fold, baseline, cond_id, fallback, tier FROM preds) GROUP BY ALL"""),
