@@ -92,15 +92,17 @@ def _pearson(p: Column, t: Column, n: Column) -> Column:
     return F.when((n == 2) & ~constant, F.signum(F.covar_pop(p, t))).when((n > 2) & ~constant, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def condition_metrics(pairs: DataFrame) -> DataFrame:
+def condition_metrics(pairs: DataFrame, representations: tuple[str, ...] = REPRESENTATIONS) -> DataFrame:
     """Per scoring pair and representation: pearson_r, mae, pearson_r_de, direction_acc_de."""
+    for representation in representations:
+        check_representation(representation)
     zipped = F.arrays_zip("pred", "truth", "control", "de")
     genes = pairs.select(*KEYS, F.explode(zipped).alias("g")).select(
         *KEYS, F.col("g.pred").alias("p"), F.col("g.truth").alias("t"), F.col("g.control").alias("c"), (F.col("g.de") > 0).alias("de")
     )
     aggregates = []
     n, n_de = F.count("*"), F.count_if("de")
-    for rep in REPRESENTATIONS:
+    for rep in representations:
         p, t = (F.col("p"), F.col("t")) if rep == "delta" else (F.col("c") + F.col("p"), F.col("c") + F.col("t"))
         pd_, td = F.when(F.col("de"), p), F.when(F.col("de"), t)
         same = F.when(F.col("de"), (F.signum(p) == F.signum(t)).cast("double"))
@@ -113,20 +115,63 @@ def condition_metrics(pairs: DataFrame) -> DataFrame:
         ).alias(rep))
     return (
         genes.groupBy(*KEYS).agg(*aggregates)
-        .select(*KEYS, F.explode(F.array(*REPRESENTATIONS)).alias("m"))
+        .select(*KEYS, F.explode(F.array(*representations)).alias("m"))
         .select(*KEYS, "m.*")
     )
 
 
-def pert_discrimination(pairs: DataFrame, pools: DataFrame, n_blocks: int | None = None) -> DataFrame:
+def rank_counts(pred: np.ndarray, own: np.ndarray, truths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per prediction: how many truths are nearer than its own one, and how many are exactly as near.
+
+    Equal predictions are measured once. A matrix product tells all squared distances but for its rounding, whose bound
+    settles nearly every comparison; what lies within the bound is measured again on the values themselves, by the
+    same kernel as the own truth, so that equal profiles are exactly equally near.
+    """
+
+    def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+    distinct, which = np.unique(pred, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    middle = np.nan_to_num(truths.mean(axis=0), posinf=0.0, neginf=0.0)  # distances don't change, products get smaller
+    p, t, o = distinct - middle, truths - middle, own - middle
+    pp, tt = (p * p).sum(axis=1), (t * t).sum(axis=1)
+    rough = pp[:, None] + tt[None, :] - 2 * (p @ t.T)
+    mine = ((o - p[which]) ** 2).sum(axis=1)
+    slack = 16 * np.finfo(float).eps * (pred.shape[1] + 4) * (pp[which] + tt.max() + (o * o).sum(axis=1) + (middle * middle).sum())
+    told = np.isfinite(mine + slack)  # where nothing bounds the rounding all is measured again
+    mine, slack = np.where(told, mine, 0.0), np.where(told, slack, np.inf)
+    order = np.sort(rough, axis=1)
+    nearer, tied = np.zeros(len(pred), np.int64), np.zeros(len(pred), np.int64)
+    for k in range(len(distinct)):
+        at = np.flatnonzero(which == k)
+        low, high = np.searchsorted(order[k], mine[at] - slack[at]), np.searchsorted(order[k], mine[at] + slack[at], "right")
+        nearer[at] = low
+        if not (high > low).any():
+            continue
+        by_distance = np.argsort(rough[k], kind="stable")
+        rows = np.repeat(at, high - low)
+        ends = np.cumsum(high - low)
+        cols = by_distance[np.arange(len(rows)) + np.repeat(low - ends + (high - low), high - low)]
+        d, limit = exact(truths[cols], pred[rows]), exact(own[rows], pred[rows])
+        np.add.at(nearer, rows[d < limit], 1)
+        np.add.at(tied, rows[d == limit], 1)
+    return nearer, tied
+
+
+def pert_discrimination(
+    pairs: DataFrame, pools: DataFrame, n_blocks: int | None = None, representations: tuple[str, ...] = REPRESENTATIONS
+) -> DataFrame:
     """Per scoring pair and representation: the normalised rank of its own truth, among all truths of
     its fold and repetition, by Euclidean distance to its prediction; ties take the average rank.
 
     The definition compares every prediction with every truth of the fold. Conditions are hashed
     into blocks of about BLOCK_ROWS rows; one task compares one block of predictions with one block
-    of truths and returns, per prediction, how many truths are nearer and how many tie. No pair is
-    ever a row, and a task's input is two blocks however large the fold is.
+    of truths and returns, per prediction, how many truths are nearer and how many tie (rank_counts). No
+    pair is ever a row, and a task's input is two blocks however large the fold is.
     """
+    for representation in representations:
+        check_representation(representation)
     pool = ["fold", "target", "rep"]
     sizes = pools.groupBy(*pool).agg(F.count("*").alias("n_pool"))
     blocks = F.lit(n_blocks) if n_blocks else F.ceil(F.col("n_pool") / BLOCK_ROWS)
@@ -137,19 +182,16 @@ def pert_discrimination(pairs: DataFrame, pools: DataFrame, n_blocks: int | None
     candidates = pools.join(sized, pool).select(*pool, "cond_id", "truth", "control", own_block.alias("tb"), other.alias("qb"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=[*KEYS, "representation", "nearer", "tied"])
+        truth, control = np.stack(right.truth.to_list()), np.stack(right.control.to_list())
+        own, base, pred = (np.stack(left[c].to_list()) for c in ("truth", "control", "pred"))
         out = []
-        if not left.empty and not right.empty:
-            truth, control = np.stack(right.truth.to_list()), np.stack(right.control.to_list())
-            own, base = np.stack(left.truth.to_list()), np.stack(left.control.to_list())
-            pred = np.stack(left.pred.to_list())
-            for name, t, o, p in (("delta", truth, own, pred), ("absolute", truth + control, own + base, pred + base)):
-                for i in range(len(p)):
-                    # one kernel for both, so that equal profiles give exactly equal distances
-                    d = np.sqrt(((np.vstack([t, o[i : i + 1]]) - p[i]) ** 2).sum(axis=1))
-                    out.append((i, name, int((d[:-1] < d[-1]).sum()), int((d[:-1] == d[-1]).sum())))
-        frame = pd.DataFrame(out, columns=["i", "representation", "nearer", "tied"])
-        keys = left[KEYS].iloc[frame["i"]].reset_index(drop=True)
-        return pd.concat([keys, frame.drop(columns="i")], axis=1)
+        for name in representations:
+            t, o, p = (truth, own, pred) if name == "delta" else (truth + control, own + base, pred + base)
+            nearer, tied = rank_counts(p, o, t)
+            out.append(left[KEYS].assign(representation=name, nearer=nearer, tied=tied))
+        return pd.concat(out, ignore_index=True)
 
     counted = queries.groupBy(*pool, "qb", "tb").cogroup(arrays.fresh(candidates).groupBy(*pool, "qb", "tb")).applyInPandas(
         compare, "fold string, baseline string, target string, rep int, cond_id string, representation string, nearer long, tied long"
@@ -160,9 +202,10 @@ def pert_discrimination(pairs: DataFrame, pools: DataFrame, n_blocks: int | None
     )
 
 
-def score_conditions(pairs: DataFrame, pools: DataFrame) -> DataFrame:
+def score_conditions(pairs: DataFrame, pools: DataFrame, representations: tuple[str, ...] = REPRESENTATIONS) -> DataFrame:
     """All five metrics per scoring pair and representation."""
-    return condition_metrics(pairs).join(pert_discrimination(pairs, pools), [*KEYS, "representation"])
+    ranks = pert_discrimination(pairs, pools, representations=representations)
+    return condition_metrics(pairs, representations).join(ranks, [*KEYS, "representation"])
 
 
 def unpivot(scores: DataFrame) -> DataFrame:

@@ -331,8 +331,7 @@ def _pairs(s: Sweep) -> tuple[DataFrame, DataFrame]:
 def _score_query(representation: str) -> None:
     def query(spark, sf_dir):
         pairs, _ = _pairs(scored_sweep(spark, sf_dir))
-        scored = metrics.condition_metrics(pairs.where(F.col("baseline") != metrics.CEILING))
-        scored = scored.where(F.col("representation") == representation).drop("representation")
+        scored = metrics.condition_metrics(pairs.where(F.col("baseline") != metrics.CEILING), (representation,)).drop("representation")
         return round_all(scored, "pearson_r", "mae", "pearson_r_de", "direction_acc_de")
 
     QUERIES[f"condition_scores_{representation}"] = query

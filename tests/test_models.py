@@ -256,6 +256,35 @@ def test_metric_values(spark):
     assert np.allclose([r.pert_discrimination for r in a], _naive_ranks(pred + control, truth + control))
 
 
+def test_rank_counts_equal_plain_distances():
+    """Every comparison, exact ties too, as by measuring each prediction against each truth; lattices, far offsets, equal predictions, undefined ones."""
+    rng = np.random.default_rng(7)
+    for trial in range(200):
+        n, m, g, scale = int(rng.integers(1, 50)), int(rng.integers(1, 50)), int(rng.integers(1, 30)), 10.0 ** rng.integers(-6, 7)
+        truths = rng.normal(size=(n, g)) * scale + (1e3 * rng.normal(size=g) if trial % 5 == 1 else 0)
+        if trial % 5 == 2:
+            truths = np.round(truths / scale) * scale
+        truths = truths[rng.integers(0, n, n)]
+        own = truths[rng.integers(0, n, m)]
+        pred = np.zeros_like(own) if trial % 5 == 3 else own + rng.normal(size=own.shape) * scale
+        if trial % 5 == 2:
+            pred = np.round(pred / scale) * scale
+        if trial % 5 == 4:
+            pred[0] = np.nan
+            truths[-1, 0] = np.inf
+        with np.errstate(invalid="ignore", over="ignore"):
+            nearer, tied = metrics.rank_counts(pred, own, truths)
+            for i in range(m):
+                d = np.sqrt(((np.vstack([truths, own[i : i + 1]]) - pred[i]) ** 2).sum(axis=1))
+                assert (nearer[i], tied[i]) == ((d[:-1] < d[-1]).sum(), (d[:-1] == d[-1]).sum()), (trial, i)
+
+
+def test_unknown_representation_is_refused(spark):
+    pairs = spark.createDataFrame([], "fold string, baseline string, target string, rep int, cond_id string, pred array<double>, truth array<double>, control array<double>, de array<double>")
+    with pytest.raises(ValueError, match="representation"):
+        metrics.score_conditions(pairs, pairs, representations=("relative",))
+
+
 def test_discrimination_ties_across_blocks(spark):
     rng = np.random.default_rng(7)
     truth = np.repeat(rng.normal(0, 1, (10, 20)), 5, axis=0)  # groups of five equal truths
