@@ -127,6 +127,23 @@ def data_version(spark: SparkSession, path: str) -> str:
     return f"{summary.getLength()}-{summary.getFileCount()}-{changed}"
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none if there is no such folder."""
+    system, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def rename(spark: SparkSession, path: str, target: str) -> bool:
+    """Give a file its name; False, and nothing done, if the name is taken."""
+    system, where = _file_system(spark, path)
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    return not system.exists(named) and bool(system.rename(where, named))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small text file in whatever store the path names."""
     system, where = _file_system(spark, path)
