@@ -124,8 +124,8 @@ class Build:
 
     @cached_property
     def plate_z(self) -> DataFrame:
-        hist = materialize(de.value_histogram(self.placed_expression), "histogram")  # read three times
-        return de.plate_z(hist, self.matching)
+        buckets = materialize(de.bucket_sums(de.value_histogram(self.placed_expression)), "buckets")
+        return de.plate_z(buckets, self.matching, self.n_genes, materialize).drop("p")
 
     @cached_property
     def combined_z(self) -> DataFrame:

@@ -13,6 +13,7 @@ from cellshift.functions import arrays
 from cellshift.operators import baselines, de, halves, hvg, metrics, normalize, pooling, pseudobulk, qc, splits
 from cellshift.plans.dataset import Build
 from cellshift.plans.sweep import Sweep
+from cellshift.session import materialize
 from cellshift.sources.orders import orders_assay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,3 +485,21 @@ def embedding_discrimination(spark, sf_dir):
     )
     ranked = metrics.pert_discrimination(pairs, pools).where("representation = 'delta'")
     return round_all(ranked.select(F.col("cond_id").cast("long").alias("vec_id"), "pert_discrimination"), "pert_discrimination")
+
+
+@register
+def embedding_rank_tests(spark, sf_dir):
+    """Mann-Whitney tests of every vector component, each label against label 0 of the same 64 vectors: small dense groups
+    without ties have exact p values, the others the normal approximation. Components are moved by 1 to be positive."""
+    cells = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.lit("all").alias("cell_line"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("compound"), F.lit(1.0).alias("dose"),
+        F.lit(24.0).alias("time"), F.floor(F.col("vec_id") / 64).cast("string").alias("batch"), (F.col("label") == 0).alias("is_control"),
+        F.lit(True).alias("keep"), F.col("embedding").cast("array<double>").alias("v"),
+    )
+    matching = pseudobulk.match_controls(pseudobulk.group_sizes(cells), 2, materialize)
+    values = pseudobulk.place(cells, matching).select("plate_id", "pair_id", F.posexplode("v").alias("gene_idx", "x"))
+    buckets = materialize(de.bucket_sums(de.value_histogram(values.withColumn("value", F.col("x") + 1))), "buckets")
+    tests = de.plate_z(buckets, matching, cells.agg(F.max(F.size("v"))).first()[0] or 0, materialize)
+    approximate = F.when(F.col("p").isNull(), F.col("z"))
+    out = tests.select("cond_id", "eff_batch", F.col("gene_idx").alias("component"), "n_treated", "n_control", "u", approximate.alias("z"), "p")
+    return out.withColumn("z", rounded(F.col("z"))).withColumn("p", F.round("p", 12))

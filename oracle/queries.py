@@ -225,3 +225,24 @@ ORACLE["embedding_discrimination"] = """WITH e AS (SELECT vec_id, label, CAST(em
     SELECT q.vec_id, round((count(*) FILTER (list_distance(c, o.v) < list_distance(c, q.v))
         + (count(*) FILTER (list_distance(c, o.v) = list_distance(c, q.v)) - 1) / 2.0) / (count(*) - 1), 6) + 0.0 AS pert_discrimination
     FROM q CROSS JOIN e o GROUP BY q.vec_id"""
+
+#: Arrangements of up to 8 and any number of others by U: one pooled place after the other goes to either side.
+ORACLE["embedding_rank_tests"] = """WITH RECURSIVE e AS (SELECT label, floor(vec_id / 64) AS b, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    long AS (SELECT label, b, i - 1 AS component, v[i] + 1 AS x FROM e, range(1, (SELECT max(len(v)) + 1 FROM e)) r(i)),
+    n AS (SELECT label, b, count(*) AS n FROM e GROUP BY ALL),
+    pairs AS (SELECT t.label, t.b, t.n AS n1, c.n AS n2 FROM n t JOIN n c ON c.label = 0 AND c.b = t.b WHERE t.label <> 0 AND t.n >= 2 AND c.n >= 2),
+    blocks AS (SELECT p.label, b, component, x, n1, n2, count(*) FILTER (l.label <> 0) AS t, count(*) FILTER (l.label = 0) AS c
+        FROM pairs p JOIN long l USING (b) WHERE l.label IN (0, p.label) GROUP BY ALL),
+    ranked AS (SELECT *, coalesce(sum(t + c) OVER (PARTITION BY label, b, component ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + c + 1) / 2.0 AS rank FROM blocks),
+    sums AS (SELECT label, b, component, n1, n2, CAST(sum(t * rank) - n1 * (n1 + 1) / 2.0 AS DOUBLE) AS u, CAST(sum(CAST(t + c AS DOUBLE) ** 3 - (t + c)) AS DOUBLE) AS ties,
+        sum(t * x) / n1 AS mt, sum(c * x) / n2 AS mc FROM ranked GROUP BY label, b, component, n1, n2),
+    flagged AS (SELECT *, least(n1, n2) <= 8 AND max(ties) OVER (PARTITION BY label, b) = 0 AS exact, n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))) AS v FROM sums),
+    places AS (SELECT max(n1 + n2) AS n FROM flagged WHERE exact),
+    ways(i, s, u, w) AS (SELECT 0, 0, 0, CAST(1 AS DOUBLE) UNION ALL
+        SELECT i + 1, s + side, u + CASE side WHEN 1 THEN i - s ELSE 0 END, sum(w) FROM ways, (VALUES (0), (1)) d(side), places WHERE i < n AND s + side <= 8 GROUP BY 1, 2, 3),
+    tails AS (SELECT s AS small, i - s AS large, u, sum(w) OVER (PARTITION BY i, s ORDER BY u) / sum(w) OVER (PARTITION BY i, s) AS p FROM ways)
+    SELECT 'all|label ' || f.label || '|1.0|24.0' AS cond_id, CAST(CAST(b AS BIGINT) AS VARCHAR) AS eff_batch, CAST(component AS INTEGER) AS component,
+        CAST(n1 AS BIGINT) AS n_treated, CAST(n2 AS BIGINT) AS n_control, f.u,
+        round(CASE WHEN exact THEN NULL WHEN v > 0 THEN greatest((abs(f.u - n1 * n2 / 2.0) - 0.5) / sqrt(v), 0) * CASE WHEN mt < mc THEN -1 ELSE 1 END ELSE 0 END, 6) + 0.0 AS z,
+        CASE WHEN exact THEN round(least(2 * p, 1), 12) END AS p
+    FROM flagged f LEFT JOIN tails t ON exact AND small = least(n1, n2) AND large = greatest(n1, n2) AND t.u = least(f.u, n1 * n2 - f.u)"""
