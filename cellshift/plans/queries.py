@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellshift.config import Config
 from cellshift.functions.arrays import rounded
 from cellshift.functions import arrays
-from cellshift.operators import baselines, de, halves, hvg, metrics, normalize, pooling, pseudobulk, qc, splits
+from cellshift.operators import baselines, de, fitted, halves, hvg, metrics, normalize, pooling, pseudobulk, qc, splits
 from cellshift.plans.dataset import Build
 from cellshift.plans.sweep import Sweep
 from cellshift.session import materialize
@@ -294,6 +294,14 @@ for _name in ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_
     _predictor_query(_name)
 
 
+@register
+def pred_dose_slope(spark, sf_dir):
+    """A predictor written as a class, fitted shard by shard and merged: deltas proportional to log dose."""
+    b = build(spark, sf_dir)
+    s = Sweep(b)
+    return _long_predictions(b, s, fitted.model_predictor(fitted.DoseSlope)(s.fit), ["fold", "cond_id", "fallback"])
+
+
 @register
 def nearest_line(spark, sf_dir):
     return round_all(baselines.context_candidates(sweep(spark, sf_dir).fit), "sim")

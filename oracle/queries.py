@@ -132,6 +132,12 @@ _PRED = _SEL + sweep.predictions()
 for _name in ("no_change", "global_mean_delta", "per_drug_mean_delta", "nearest_context"):
     ORACLE[f"pred_{_name}"] = query(_PRED, f"""SELECT fold, cond_id, gene, {r6('pred', 'pred')}, fallback, tier
         FROM preds JOIN genes USING (gene_idx) WHERE baseline = '{_name}'""")
+_SLOPE = "sum(log_dose * delta) / nullif(sum(log_dose * log_dose), 0) AS slope FROM train JOIN prof USING (cond_id) JOIN sel USING (fold, gene_idx)"
+ORACLE["pred_dose_slope"] = query(_SEL + [
+    ("own", f"SELECT fold, compound, gene_idx, {_SLOPE} GROUP BY fold, compound, gene_idx"),
+    ("every", f"SELECT fold, gene_idx, {_SLOPE} GROUP BY fold, gene_idx"),
+], f"""SELECT fold, f.cond_id, gene, {r6('log_dose * coalesce(own.slope, every.slope, 0)', 'pred')}, own.slope IS NULL AS fallback
+    FROM folds f JOIN conds USING (cond_id) JOIN every USING (fold) JOIN genes USING (gene_idx) LEFT JOIN own USING (fold, compound, gene_idx) WHERE role = 'test'""")
 for _name, _regimes in (("ridge", "'random', 'held_out_context'"), ("ridge_no_drug", "'held_out_drug', 'held_out_both'")):
     ORACLE[f"{_name}_predictions"] = query(_PRED, f"""SELECT fold, cond_id, gene, {r6('pred', 'pred')}, fallback, alpha, n_components
         FROM ridge JOIN genes USING (gene_idx) WHERE regime IN ({_regimes})""")
