@@ -254,6 +254,25 @@ def leakage_violations_planted(spark, sf_dir):
     return splits.leakage_violations(b.obs, context.unionByName(leak), meta)
 
 
+@register
+def leakage_every_rule(spark, sf_dir):
+    """All held_out_both folds with all rules broken, by held-out line: rows repeated (AUTOMOBILE), test rows put into training
+    (BUILDING), unknown conditions (FURNITURE), nothing declared (HOUSEHOLD), another line declared (MACHINERY)."""
+    b = build(spark, sf_dir)
+    folds = materialize(splits.make_folds(b.obs, "held_out_both", b.cfg.seed), "folds")
+    meta = splits.fold_meta(b.obs, folds, b.cfg.seed)
+    of = lambda line: F.col("fold").startswith(f"held_out_both/{line}__fold")
+    test, train = folds.where("role = 'test'"), F.lit("train")
+    lost = test.where(of("FURNITURE")).withColumn("cond_id", F.concat(F.lit("lost|"), "cond_id"))
+    planted = folds.unionByName(test.where(of("AUTOMOBILE"))).unionByName(test.where(of("BUILDING")).withColumn("role", train))
+    planted = planted.unionByName(lost.withColumn("role", train))
+    none = F.array().cast("array<string>")
+    meta = meta.withColumn(
+        "held_out_cell_lines", F.when(of("HOUSEHOLD"), none).when(of("MACHINERY"), F.array(F.lit("elsewhere"))).otherwise(F.col("held_out_cell_lines"))
+    ).withColumn("held_out_compounds", F.when(of("HOUSEHOLD"), none).otherwise(F.col("held_out_compounds")))
+    return splits.leakage_violations(b.obs, materialize(planted, "planted"), materialize(meta, "declared"))  # read by every rule
+
+
 @register
 def hvg_selection(spark, sf_dir):
     b = build(spark, sf_dir)

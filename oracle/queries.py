@@ -122,6 +122,32 @@ ORACLE["leakage_violations_planted"] = query(_LEAK, """SELECT regime, fold, 'ove
     UNION ALL SELECT regime, fold, 'line_in_both_roles', item FROM ll WHERE tr AND te
     UNION ALL SELECT regime, fold, 'declared_line_in_train', item FROM ll WHERE tr AND fold = 'held_out_context/' || item""")
 
+# every rule broken once, by held-out line; what is declared follows from the sound folds' test rows
+_RULES = _FOLDS + [
+    ("sound", "SELECT fold, split_part(split_part(fold, '/', 2), '__fold', 1) AS held, cond_id, role FROM folds WHERE regime = 'held_out_both'"),
+    ("pl", """SELECT fold, cond_id, role FROM sound UNION ALL SELECT fold, cond_id, role FROM sound WHERE role = 'test' AND held = 'AUTOMOBILE'
+        UNION ALL SELECT fold, cond_id, 'train' FROM sound WHERE role = 'test' AND held = 'BUILDING'
+        UNION ALL SELECT fold, 'lost|' || cond_id, 'train' FROM sound WHERE role = 'test' AND held = 'FURNITURE'"""),
+    ("said", """SELECT DISTINCT fold, CASE held WHEN 'MACHINERY' THEN 'elsewhere' ELSE cell_line END AS line, compound
+        FROM sound JOIN conds USING (cond_id) WHERE role = 'test' AND held <> 'HOUSEHOLD'"""),
+    ("pr", "SELECT pl.*, cell_line, compound FROM pl JOIN conds USING (cond_id)"),
+    ("pls", "SELECT fold, cell_line AS item, bool_or(role = 'train') AS tr, bool_or(role = 'test') AS te FROM pr GROUP BY ALL"),
+    ("pcs", "SELECT fold, compound AS item, bool_or(role = 'train') AS tr, bool_or(role = 'test') AS te FROM pr GROUP BY ALL"),
+    ("broken", """SELECT fold, 'duplicate' AS "check", cond_id AS item FROM pl GROUP BY fold, cond_id, role HAVING count(*) > 1
+        UNION ALL SELECT fold, 'overlap', cond_id FROM pl GROUP BY fold, cond_id HAVING bool_or(role = 'train') AND bool_or(role = 'test')
+        UNION ALL SELECT fold, 'unknown_condition', cond_id FROM pl WHERE cond_id NOT IN (SELECT cond_id FROM conds)
+        UNION ALL SELECT fold, 'line_in_both_roles', item FROM pls WHERE tr AND te
+        UNION ALL SELECT fold, 'compound_in_both_roles', item FROM pcs WHERE tr AND te
+        UNION ALL SELECT fold, 'test_line_not_declared', item FROM pls WHERE te AND (fold, item) NOT IN (SELECT (fold, line) FROM said)
+        UNION ALL SELECT fold, 'declared_line_not_in_test', line FROM said WHERE (fold, line) NOT IN (SELECT (fold, item) FROM pls WHERE te)
+        UNION ALL SELECT fold, 'test_compound_not_declared', item FROM pcs WHERE te AND (fold, item) NOT IN (SELECT (fold, compound) FROM said)
+        UNION ALL SELECT fold, 'declared_line_in_train', item FROM pls WHERE tr AND (fold, item) IN (SELECT (fold, line) FROM said)
+        UNION ALL SELECT fold, 'declared_compound_in_train', item FROM pcs WHERE tr AND (fold, item) IN (SELECT (fold, compound) FROM said)
+        UNION ALL SELECT fold, 'test_line_outside_declared', item FROM pls WHERE te AND fold IN (SELECT fold FROM said)
+            AND (fold, item) NOT IN (SELECT (fold, line) FROM said)"""),
+]
+ORACLE["leakage_every_rule"] = query(_RULES, """SELECT DISTINCT 'held_out_both' AS regime, fold, "check", item FROM broken""")
+
 _SEL = _FOLDS + sweep.selection()
 ORACLE["hvg_selection"] = query(_SEL, f"SELECT fold, gene, {r6('var', 'var')} FROM sel JOIN fvar USING (fold, gene_idx) JOIN genes USING (gene_idx)")
 ORACLE["hvg_union"] = query(_SEL, "SELECT DISTINCT gene FROM sel JOIN genes USING (gene_idx)")
