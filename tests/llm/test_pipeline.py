@@ -197,3 +197,28 @@ def test_shared_keys_over_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(tuple(r) for r in got) == [(k, n, 10) for k, size in ((2, 2), (3, 7), (6, 3)) for n in range(10, 10 + size)]
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The stage links texts by SimHash as operator 5 does and verifies them; only what is still apart goes to the prefix filter."""
+    rng = random.Random(4)
+    words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    body = words(900)
+    texts = [" ".join([*body, f"end{i}"]) for i in range(6)] + [" ".join(words(30)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, verify = [], near_copies.settled
+
+    def spy(pairs, edges, *rest):
+        seen.append(({tuple(r) for r in pairs.collect()}, edges is None))
+        return verify(pairs, edges, *rest)
+
+    monkeypatch.setattr(near_copies, "settled", spy)
+    got = {r["doc_id"]: r["component"] for r in near_copies.grouped(docs).collect()}
+    assert len({got[i] for i in range(6)}) == 1 and len(set(got.values())) == 11
+    assert [first for _, first in seen] == [True, False, False] and len(seen[0][0]) >= 5 and not seen[1][0] and not seen[2][0]
+
+
+def test_cells_of_the_same_nodes_are_compared_once(spark):
+    cells = [(k, node, node) for k in range(30) for node in (1, 2, 3)] + [(40, 1, 1), (40, 2, 2), (50, 4, 4), (50, 5, 4)]
+    kept = near_copies.unlike_cells(spark.createDataFrame(cells, "key long, node long, root long")).collect()
+    assert sorted(map(tuple, kept)) == [(0, 3), (40, 2)]
