@@ -200,7 +200,7 @@ def test_shared_keys_over_batches(spark):
 
 
 def test_fingerprints_come_first(spark, monkeypatch):
-    """The stage links texts by SimHash as operator 5 does and verifies them; only what is still apart goes to the prefix filter."""
+    """The stage links texts by SimHash as operator 5 does and verifies them; only what is still apart is compared inside cells."""
     rng = random.Random(4)
     words = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
     body = words(900)
@@ -215,7 +215,9 @@ def test_fingerprints_come_first(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "settled", spy)
     got = {r["doc_id"]: r["component"] for r in near_copies.grouped(docs).collect()}
     assert len({got[i] for i in range(6)}) == 1 and len(set(got.values())) == 11
-    assert [first for _, first in seen] == [True, False, False] and len(seen[0][0]) >= 5 and not seen[1][0] and not seen[2][0]
+    nodes = spark.createDataFrame([(1, 0), (2, 7), (3, 7), (4, 255 << 20)], "node long, fp long")
+    assert {tuple(r) for r in near_copies.by_fingerprint(nodes, 3).collect()} == {(1, 2), (2, 3)}
+    assert [first for _, first in seen] == [True, False] and len(seen[0][0]) >= 5 and not seen[1][0]
 
 
 def test_cells_of_the_same_nodes_are_compared_once(spark):
