@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cellshift.session import discard, materialize
 
-__all__ = ["batch_slices", "discard", "gapless_rank", "held_out", "let", "materialize", "read", "stratified", "text_bytes"]
+__all__ = ["batch_slices", "discard", "gapless_rank", "held_out", "kept", "let", "materialize", "read", "release", "stratified", "text_bytes"]
+
+_kept: dict[tuple, Any] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +26,21 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, one thing at a time: workers serve one stage after the other, and
+    without that they would hold the models of all of them."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Let go of what this worker keeps; the allocator gives back what is free. Tasks that need none of it begin so."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def batch_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about `limit` bytes of text at most, one row at least: long texts bound memory."""
     for batch in batches:
@@ -35,6 +53,8 @@ def batch_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             held += size
         if len(sizes) > start:
             yield batch.slice(start)
+        del batch, sizes  # not held while the next batch is read
+        pa.default_memory_pool().release_unused()
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:

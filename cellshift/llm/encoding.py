@@ -10,11 +10,12 @@ from __future__ import annotations
 import array
 import os
 
+from cellshift.llm.common import kept
+
 MAX_CACHED = 600_000  # pieces kept by a worker, about 120 MB
 
 _PUNCTUATION = b".,;:!?*#&%$"
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")  # letters that no normalisation changes
-_encoders: dict[str, "PieceEncoder"] = {}
 
 
 def default_path() -> str:
@@ -83,7 +84,5 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """One encoder per worker and file, until the worker keeps something else."""
+    return kept(("encoder", path), lambda: PieceEncoder(path))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.common import batch_slices, gapless_rank, materialize, text_bytes
+from cellshift.llm.common import batch_slices, gapless_rank, materialize, release, text_bytes
 from cellshift.llm.encoding import default_path, encoder
 
 CAPACITY = 4096
@@ -183,6 +183,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # all texts are encoded by now
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__r"))
             sequence, offset = np.empty_like(rank), np.empty_like(rank)

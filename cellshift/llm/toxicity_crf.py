@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.common import batch_slices, materialize, stratified, text_bytes
+from cellshift.llm.common import batch_slices, kept, materialize, release, stratified, text_bytes
 
 PER_CLASS = 2500
 FLOOR = -2.0
@@ -256,6 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     words, starts = indicators(sample, sizes[1], sizes[0])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batch_slices(batches):
             out_w, out_t = [], []
             for text, toxic in zip(text_bytes(batch), batch.column("toxic").to_pylist(), strict=True):
@@ -288,16 +289,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return Model(weights.astype(np.float32), moves, curve, centre, spread)
 
 
-_scorers: dict[str, WordScores] = {}
-
-
 def _scored(model: Model | None, token: str, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     if model is None:
         return np.zeros(len(texts)), [np.zeros(0)] * len(texts)
-    if token not in _scorers:
-        _scorers.clear()
-        _scorers[token] = WordScores(model.weights)
-    odds = marginals([emissions(_scorers[token], tokens(t)) for t in texts], model.moves)
+    scores = kept(("word scores", token), lambda: WordScores(model.weights))
+    odds = marginals([emissions(scores, tokens(t)) for t in texts], model.moves)
     x = (np.array([summary(o) for o in odds]).reshape(-1, 3) - model.centre) / model.spread
     cleaner = np.array([np.clip(o.max(), -30, FLOOR) - FLOOR if len(o) else -30 - FLOOR for o in odds])  # orders the clean ones
     return 1 / (1 + np.exp(-np.clip(model.curve[0] + x @ model.curve[1:] + 0.05 * cleaner, -30, 30))), odds
