@@ -223,6 +223,96 @@ def test_fingerprints_come_first(spark, monkeypatch):
     assert [first for _, first in seen] == [True, False] and len(seen[0][0]) >= 5 and not seen[1][0]
 
 
+def variants(rng, n=90, words=120, places=16, most=8):
+    """Copies of a text, each with some of the same words replaced: those that differ in 2 places are alike, those in 3 nearly so."""
+    body, texts = [f"b{i}" for i in range(words)], []
+    for _ in range(n):
+        changed = {at * words // places for at in rng.sample(range(places), rng.randint(1, most))}
+        texts.append(" ".join(f"x{i}" if i in changed else w for i, w in enumerate(body)))
+    return texts
+
+
+def test_cells_tell_no_more_rows_than_they_hold(spark):
+    """A group whose pairs nearly all may be alike: its rows are told, not its pairs; near rows are in one cluster; trees have one pair less than rows."""
+    texts = variants(random.Random(2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("same", F.col("doc_id"))
+    nodes = near_copies.marks(docs, np.array([], dtype=np.uint64), 5, 0.8).localCheckpoint()
+    name = {r["doc_id"]: r["node"] for r in nodes.select("doc_id", "node").collect()}
+    cells = nodes.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"), "node", F.col("node").alias("root")).where("key = 1 or node % 2 = 0")
+    for cell_rows in (2048, 20):
+        grid = near_copies.gridded(cells, "1", cell_rows).count()
+        told = near_copies.across(cells, nodes, 0.8, cell_rows).collect()
+        assert len(told) <= grid
+        held, tree = {}, {}
+        for r in told:
+            held.setdefault(r["key"], set()).add(r["node"])
+            tree.setdefault(r["key"], set()).update({(r["u"], r["v"])} if r["u"] is not None else ())
+        assert all(len(tree[k]) == len(held[k]) - 1 and {x for pair in tree[k] for x in pair} == held[k] for k in held)
+        for i in range(len(texts)):
+            for j in range(i):
+                assert jaccard(texts[i], texts[j]) < 0.8 or any({name[i], name[j]} <= x for x in held.values())
+
+
+def test_groups_near_the_threshold_match_brute_force(spark, monkeypatch):
+    """A group whose pairs are nearly all close to the similarity, in cells and clusters cut into blocks."""
+    rng = random.Random(9)
+    texts = variants(rng) + [" ".join(f"u{rng.randrange(900)}" for _ in range(30)) for _ in range(10)]
+    want, first = components_of(texts), {}
+    assert 15 < len(set(want)) < len(texts) - 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near_copies.across, "__defaults__", (64,))
+    monkeypatch.setattr(near_copies.inside, "__defaults__", (8 * 116 * 40,))
+    got = sorted(near_copies.grouped(docs).collect(), key=lambda r: r["doc_id"])
+    for r in got:
+        first.setdefault(r["component"], r["doc_id"])
+    assert [first[r["component"]] for r in got] == want
+
+
+@pytest.mark.parametrize("cell_bytes", [4 << 20, 8 * 116 * 12])
+def test_clusters_are_compared_whole(spark, cell_bytes):
+    """No pair of the tree of a cluster is near here: all near pairs are found inside, and none is told that the others unite."""
+    texts = variants(random.Random(7), n=40, places=12)
+    want = components_of(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("same", F.xxhash64("text")).localCheckpoint()
+    marked = near_copies.marks(docs, np.array([], dtype=np.uint64), 5, 0.8).localCheckpoint()
+    name = {r["doc_id"]: r["node"] for r in marked.collect()}
+    nodes = marked.dropDuplicates(["node"])
+    clusters = nodes.select(F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("key"), "node", "n").where("key = 1 or node % 2 = 0")
+    edges = spark.createDataFrame([(1, 2)], "u long, v long")
+    found = {tuple(r) for r in near_copies.inside(clusters, edges, docs, nodes, 5, 0.8, cell_bytes).collect()} - {(1, 2)}
+    label = {x: x for x in name.values()}
+    for u, v in found:
+        label = {x: label[u] if y == label[v] else y for x, y in label.items()}
+    assert len({label[name[i]] for i in range(len(texts))}) == len(set(want))
+    assert all(label[name[i]] == label[name[want[i]]] for i in range(len(texts)))
+
+
+def test_joining_unites_what_all_near_pairs_unite():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        pool, n = rng.integers(0, 1 << 63, 40, dtype=np.uint64), int(rng.integers(2, 14))
+        sets = [np.unique(np.delete(pool, rng.integers(0, 40, int(rng.integers(0, 9))))) for _ in range(n)]
+        root = rng.integers(0, 8, n)
+        want, got = root.tolist(), root.tolist()
+        pairs = near_copies.joining(root, sets, 0.8)
+        for label, some in ((got, pairs), (want, [(i, j) for i in range(n) for j in range(i)])):
+            for i, j in some:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    label[:] = [label[i] if x == label[j] else x for x in label]
+                else:
+                    assert label is want
+        assert len(pairs) < n and all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
+
+
+def test_whole_cells_over_batches():
+    cell = np.array([1, 1, 1, 2, 3, 3, 4, 5, 5, 5, 5, 6])
+    for cuts in ([3], [1, 2], [4, 4, 6], [1, 3, 7, 8, 9, 11], []):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x)], names=["cell"]) for x in np.split(cell, cuts)]
+        got = [t.column("cell").to_pylist() for t in near_copies.whole_cells(iter(batches))]
+        assert sum(got, []) == cell.tolist() and sum(len(set(x)) for x in got) == 6
+
+
 def test_cells_of_the_same_nodes_are_compared_once(spark):
     cells = [(k, node, node) for k in range(30) for node in (1, 2, 3)] + [(40, 1, 1), (40, 2, 2), (50, 4, 4), (50, 5, 4)]
     kept = near_copies.unlike_cells(spark.createDataFrame(cells, "key long, node long, root long")).collect()
